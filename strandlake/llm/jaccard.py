@@ -2,16 +2,17 @@
 
 A document is the set of its k-word shingles. Two link if percent of their union is common to
 both. Shingles have one global order: those that are frequent in prefixes come last, all others
-by hash. Two linked sets share a shingle within their first n - ceil(percent * n) + 1 ones (the
-prefix). Sets that are equal are one class. Classes of equal prefix and size form a group, and
-only groups have entries in the prefix index. Group pairs are filtered by size and by what can
-still follow the shared place; surviving pairs are expanded to classes, and these are verified
-on whole texts.
-
-For a hot shingle the index does not emit all pairs: first each entry meets the smallest group
-of its size band only, and components follow from what is verified. Only entries that are still
-in different components meet each other then, so a cluster of n near copies costs about n
-verifications, and no link between different components is lost.
+by hash. Two linked sets share COMMON shingles (or all that they must share, if fewer) within their
+first n - ceil(percent * n) + COMMON ones, the prefix. Sets that are equal are one class. Classes of
+equal prefix and size form a group, and only groups have entries in the prefix index. Pairs are
+filtered by size and by what they share in the prefix and what can still follow; they are expanded
+to classes, and these are verified on whole texts.
+
+For a shingle of many groups the index does not emit all pairs at first: each entry meets one center
+of its size band, the group with most such shingles in its prefix, as a text has that others were
+copied from. Components follow from what is verified. Only entries that are still in different
+components meet each other then, so a cluster of n near copies costs about n verifications, and no
+link between different components is lost.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ from .words import shingle_sets
 
 #: A shingle in more prefixes than this comes last in the order; of these the most frequent count, as many as are broadcast.
 FREQUENT, MOST_FREQUENT = 48, 2_000_000
+#: Shingles that the prefixes of two linked sets have in common; entries from which on a shingle has a center.
+COMMON, CENTERED = 3, 16
 #: Ids (8 bytes each) that are broadcast at most, to pick the texts to verify; beyond it that join is shuffled.
 MOST_IDS = 2_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """How many first shingles of a set of n must hold one of any linked set's prefix."""
-    return n - -(-percent * n // 100) + 1 if n else 0
+    """How many first shingles of a set of n share COMMON with any linked set's prefix."""
+    return min(n, n - -(-percent * n // 100) + COMMON)
 
 
 def _signatures(k: int, percent: int, frequent=None, wide: bool = False):
@@ -122,13 +125,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the index: an entry is a shingle in the prefix of a group; those of one class go at once
     entries = groups.select("gid", "n", "members", F.posexplode("prefix").alias("i", "s"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
-    shared = entries.groupBy("s").agg(F.sum("members").alias("c")).where("c > 1").select("s")
-    entries = kept(entries.join(shared, "s").select("s", "gid", "n", "i", band.alias("band")))
-
-    # first links: a group's members with its smallest, an entry with the smallest of its band and of the band below
-    centers = entries.groupBy("s", "band").agg(F.min("gid").alias("to"))
-    near = entries.select("s", "gid", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).join(centers, ["s", "band"])
-    stars = near.where("gid <> to").select(F.col("gid").alias("a"), F.col("to").alias("b")).unionByName(members.select(F.col("cid").alias("a"), F.col("gid").alias("b")))
+    shared = entries.groupBy("s").agg(F.sum("members").alias("c"), F.count("*").alias("groups")).where("c > 1").select("s", (F.col("groups") > CENTERED).alias("many"))
+    entries = kept(entries.join(shared, "s").select("s", "gid", "n", "i", "many", band.alias("band")))
+
+    # first links: a group's members with its smallest, entries of many with the center of their band and the band below
+    many = entries.where("many")
+    many = many.join(many.groupBy("gid").agg((-F.count("*")).alias("rank")), "gid")
+    centers = many.groupBy("s", "band").agg(F.min(F.struct("rank", "gid")).alias("top")).select("s", "band", F.col("top.gid").alias("to"))
+    near = many.select("s", "gid", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).join(centers, ["s", "band"])
+    near = near.where("gid <> to").groupBy("gid", "to").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
+    stars = near.select(F.col("gid").alias("a"), F.col("to").alias("b")).unionByName(members.select(F.col("cid").alias("a"), F.col("gid").alias("b")))
     first = kept(verified(stars, pairs, words, percent))
     roots = components(first)
 
@@ -139,11 +145,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
     rooted = kept(rooted.join(mixed, "s"))
     x, y = (rooted.select("s", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "i", "root"))) for side in "ab")
-    least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100.0 + percent) - 1e-9)
-    room = 1 + F.least(F.col("n_a") - F.col("i_a") - 1, F.col("n_b") - F.col("i_b") - 1)
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cid_a") < F.col("cid_b")))
-    late = x.join(y, "s").where(smaller & (F.col("root_a") != F.col("root_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (room >= least))
-    late = late.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    met = x.join(y, "s").where(smaller & (F.col("root_a") != F.col("root_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")))
+    met = met.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("c"), F.max("i_a").alias("i_a"), F.max("i_b").alias("i_b"))
+    least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100.0 + percent) - 1e-9)
+    room = F.least(F.col("n_a") - F.col("i_a") - 1, F.col("n_b") - F.col("i_b") - 1)
+    late = met.where((F.col("c") >= F.least(F.lit(COMMON), least)) & (F.col("c") + room >= least)).select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = kept(verified(late, pairs, words, percent))
     roots = components(first.unionByName(second)) if second.take(1) else roots
 
