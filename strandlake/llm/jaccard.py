@@ -5,8 +5,8 @@ both. Shingles have one global order: those that are frequent in prefixes come l
 by hash. Two linked sets share COMMON shingles (or all that they must share, if fewer) within their
 first n - ceil(percent * n) + COMMON ones, the prefix. Sets that are equal are one class. Classes of
 equal prefix and size form a group, and only groups have entries in the prefix index. Pairs are
-filtered by size and by what they share in the prefix and what can still follow; they are expanded
-to classes, and these are verified on whole texts.
+filtered by size, by how many shingles each has alone, by what they share in the prefix and by what can
+still follow; they are expanded to classes, and these are verified on whole texts.
 
 For a shingle of many groups the index does not emit all pairs at first: each entry meets one center
 of its size band, the group with most such shingles in its prefix, as a text has that others were
@@ -123,10 +123,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = kept(classes.join(groups.where("members > 1").select("key", "n", "gid"), ["key", "n"]).select("cid", "gid", "n").where("cid <> gid"))
 
     # the index: an entry is a shingle in the prefix of a group; those of one class go at once
-    entries = groups.select("gid", "n", "members", F.posexplode("prefix").alias("i", "s"))
+    entries = groups.select("gid", "n", "members", F.size("prefix").alias("p"), F.posexplode("prefix").alias("i", "s"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
     shared = entries.groupBy("s").agg(F.sum("members").alias("c"), F.count("*").alias("groups")).where("c > 1").select("s", (F.col("groups") > CENTERED).alias("many"))
-    entries = kept(entries.join(shared, "s").select("s", "gid", "n", "i", "many", band.alias("band")))
+    entries = kept(entries.join(shared, "s").select("s", "gid", "n", "i", "p", "many", band.alias("band")))
+    # what a set shares with another is at most its size less the shingles that it alone has; most sets end here
+    most = entries.groupBy("gid").agg((F.max("n") - F.max("p") + F.count("*")).alias("most"), F.max("n").alias("size"))
+    entries = kept(entries.join(most.where(100 * F.col("most") >= percent * F.col("size")).select("gid", "most"), "gid").drop("p"))
 
     # first links: a group's members with its smallest, entries of many with the center of their band and the band below
     many = entries.where("many")
@@ -139,16 +142,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(first)
 
     # then the entries of all classes that are still in different components of one shingle or one group
-    spread = entries.select("s", "gid", "n", "i").join(members.select("gid", "cid"), "gid").select("s", "cid", "n", "i")
-    every = entries.select("s", F.col("gid").alias("cid"), "n", "i").unionByName(spread)
+    spread = entries.select("s", "gid", "n", "i", "most").join(members.select("gid", "cid"), "gid").select("s", "cid", "n", "i", "most")
+    every = entries.select("s", F.col("gid").alias("cid"), "n", "i", "most").unionByName(spread)
     rooted = every.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     mixed = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
     rooted = kept(rooted.join(mixed, "s"))
-    x, y = (rooted.select("s", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "i", "root"))) for side in "ab")
+    x, y = (rooted.select("s", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "i", "most", "root"))) for side in "ab")
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cid_a") < F.col("cid_b")))
-    met = x.join(y, "s").where(smaller & (F.col("root_a") != F.col("root_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")))
-    met = met.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("c"), F.max("i_a").alias("i_a"), F.max("i_b").alias("i_b"))
     least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100.0 + percent) - 1e-9)
+    met = x.join(y, "s").where(smaller & (F.least("most_a", "most_b") >= least) & (F.col("root_a") != F.col("root_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")))
+    met = met.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("c"), F.max("i_a").alias("i_a"), F.max("i_b").alias("i_b"))
     room = F.least(F.col("n_a") - F.col("i_a") - 1, F.col("n_b") - F.col("i_b") - 1)
     late = met.where((F.col("c") >= F.least(F.lit(COMMON), least)) & (F.col("c") + room >= least)).select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = kept(verified(late, pairs, words, percent))
