@@ -106,6 +106,18 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _partnered(entries: DataFrame, percent: int) -> DataFrame:
+    """entries with most, how many shingles a set can share at most: its size less those that no other set of its size band or the next has.
+
+    Sets that can't reach percent of their size go, most of all sets; what they alone shared with others counts no more the next time.
+    """
+    bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    held = entries.groupBy("s", "band").agg(F.sum("members").alias("c")).select("s", bands, "c").groupBy("s", "band").agg(F.sum("c").alias("c"))
+    shared = entries.drop("most").join(held.where("c > 1").select("s", "band"), ["s", "band"])
+    most = shared.groupBy("gid").agg((F.max("n") - F.max("p") + F.count("*")).alias("most"), F.max("n").alias("size"))
+    return shared.join(most.where(100 * F.col("most") >= percent * F.col("size")).select("gid", "most"), "gid").select("s", "gid", "n", "i", "p", "members", "many", "band", "most")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id, n_shingles, class_id (smallest id of an equal set), component_id (smallest id that links reach).
 
@@ -126,10 +138,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = groups.select("gid", "n", "members", F.size("prefix").alias("p"), F.posexplode("prefix").alias("i", "s"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
     shared = entries.groupBy("s").agg(F.sum("members").alias("c"), F.count("*").alias("groups")).where("c > 1").select("s", (F.col("groups") > CENTERED).alias("many"))
-    entries = kept(entries.join(shared, "s").select("s", "gid", "n", "i", "p", "many", band.alias("band")))
-    # what a set shares with another is at most its size less the shingles that it alone has; most sets end here
-    most = entries.groupBy("gid").agg((F.max("n") - F.max("p") + F.count("*")).alias("most"), F.max("n").alias("size"))
-    entries = kept(entries.join(most.where(100 * F.col("most") >= percent * F.col("size")).select("gid", "most"), "gid").drop("p"))
+    entries = kept(entries.join(shared, "s").select("s", "gid", "n", "i", "p", "members", "many", band.alias("band")))
+    for _ in range(2):
+        entries = kept(_partnered(entries, percent))
 
     # first links: a group's members with its smallest, entries of many with the center of their band and the band below
     many = entries.where("many")
