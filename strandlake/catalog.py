@@ -1,2 +1,17 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""All queries of the library and the SQL that they equal."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .plans import analytic, tabular
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return tabular.QUERIES | analytic.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return tabular.SQL | analytic.SQL

@@ -1 +1 @@
-
+"""Expressions on columns."""

@@ -1 +1,6 @@
+"""Reading tables and text formats."""
 
+from .tables import table
+from .text_formats import bed_positions, vcf_calls
+
+__all__ = ["bed_positions", "table", "vcf_calls"]
