@@ -93,7 +93,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     kinds = [x.schema[0].dataType.simpleString() for x in (rows, items)]
     schema = f"id {kinds[0]}, item {kinds[1]}, coverage double, marked int, item_words int, tiles array<struct<item_start:int,doc_start:int,words:int>>"
-    sized = items.withColumn("block", F.floor(F.sum(F.octet_length("text") / 2 + 1).over(_running()) / BLOCK_WORDS))
+    sized = items.withColumn("block", F.floor(F.coalesce(F.sum(F.octet_length("text") / 2 + 1).over(_running()), F.lit(0)) / BLOCK_WORDS))
     out = None
     blocks = [x[0] for x in sized.select("block").distinct().orderBy("block").collect()]
     for block in blocks:
@@ -129,7 +129,7 @@ def _seeded(part: pa.Table, seed: int):
         place = np.concatenate([np.full(len(k), i) for k, i in held])
         order = np.argsort(keys, kind="stable")
         tables.append((size, keys[order], place[order]))
-    return part.column("item").to_pylist(), words, tables
+    return part.column("item").combine_chunks(), words, tables
 
 
 def _tiled(batches, given, seed: int, coverage: float, names):
@@ -155,8 +155,8 @@ def _tiled(batches, given, seed: int, coverage: float, names):
                 found = tiles(item, hashes[first[d] : first[d + 1]], min(seed, len(item)))
                 marked = sum(x[2] for x in found)
                 if marked >= coverage * len(item):
-                    rows.append((start + d, items[i], marked / len(item), marked, len(item), [{"item_start": a, "doc_start": b, "words": n} for a, b, n in found]))
+                    rows.append((start + d, i, marked / len(item), marked, len(item), [{"item_start": a, "doc_start": b, "words": n} for a, b, n in found]))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
-        arrays = [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1]) if rows else None, pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], _TILE)]
+        arrays = [ids.take(pa.array(cols[0], pa.int64())), items.take(pa.array(cols[1], pa.int64())), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], _TILE)]
         if rows:
             yield pa.RecordBatch.from_arrays(arrays, names)
