@@ -15,6 +15,7 @@ those: scoring needs no vectors, only one lookup a unit.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -99,7 +100,7 @@ class Sums:
     """Sums of rows by group, many times over the same pairs (row, group)."""
 
     def __init__(self, row: np.ndarray, group: np.ndarray, groups: int):
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group, kind="stable").astype(np.int32)
         self.row, counts = row[order], np.bincount(group, minlength=groups)
         self.some = np.flatnonzero(counts)
         self.first = np.append(0, np.cumsum(counts))[self.some]
@@ -124,35 +125,41 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 5, steps: int = 10,
     if not 0 < labels.sum() < len(labels):
         return constant
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    found = [re.findall(rb"[0-9a-z\x80-\xff]+", str(x).encode().lower()) for x in texts]
     ids: dict[bytes, int] = {}
-    words = np.array([ids.setdefault(w, len(ids)) for x in found for w in x], np.int64)
-    counts = np.array([len(x) for x in found])
-    doc_of_word = np.repeat(np.arange(len(labels)), counts)
+    found, counts = array("i"), []
+    for x in texts:
+        own = re.findall(rb"[0-9a-z\x80-\xff]+", str(x).encode().lower())
+        found.extend(ids.setdefault(w, len(ids)) for w in own)
+        counts.append(len(own))
+    words, counts = np.array(found, np.int32), np.array(counts)
+    doc_of_word = np.repeat(np.arange(len(labels), dtype=np.int32), counts)
     per_doc = -(-counts // PASSAGE)
     first = np.append(0, np.cumsum(per_doc))
-    passage = first[doc_of_word] + (np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)) // PASSAGE
+    passage = (first[doc_of_word] + (np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)) // PASSAGE).astype(np.int32)
     doc, n = np.repeat(np.arange(len(labels)), per_doc), int(first[-1])
     bucket, word = [], []
     base = 0
     for _, part in byte_chunks(pa.array([w.decode(errors="replace") for w in ids], pa.large_string())):
         b, w, _ = units(part)
-        bucket.append(b)
-        word.append(w + base)
+        bucket.append(b.astype(np.int32))
+        word.append((w + base).astype(np.int32))
         base += len(part)
-    bucket, word = np.concatenate(bucket).astype(np.int64), np.concatenate(word)
+    bucket, word = np.concatenate(bucket), np.concatenate(word)
     size = np.maximum(np.bincount(passage, np.bincount(word, minlength=len(ids))[words], n), 1)[:, None].astype(np.float32)
-    # texts that have a unit
-    pairs = np.unique(words * len(labels) + doc_of_word)
-    lists = np.argsort(word, kind="stable")
+    # how many texts have a unit, a few texts at a time
+    lists = np.argsort(word, kind="stable").astype(np.int32)
     starts = np.searchsorted(word[lists], np.arange(len(ids) + 1))
-    reach = np.diff(starts)[pairs // len(labels)]
-    take = np.repeat(starts[pairs // len(labels)] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
-    spread_over = np.bincount(np.unique(bucket[lists][take] * len(labels) + np.repeat(pairs % len(labels), reach)) // len(labels), minlength=BUCKETS)
+    spread_over = np.zeros(BUCKETS, np.int32)
+    ends = np.append(0, np.cumsum(counts))
+    for d in range(len(labels)):
+        own = np.unique(words[ends[d] : ends[d + 1]])
+        if len(own):
+            spread_over[np.unique(bucket[np.concatenate([lists[starts[w] : starts[w + 1]] for w in own])])] += 1
     known = spread_over[bucket] >= (least if labels.sum() >= 100 else max(2, least // 2))
     if not known.any():
         return constant
     used, bucket = np.unique(bucket[known], return_inverse=True)
+    bucket = bucket.astype(np.int32)
     to_word, to_unit = Sums(bucket, word[known], len(ids)), Sums(word[known], bucket, len(used))
     to_passage, back_to_word = Sums(words, passage, n), Sums(passage, words, len(ids))
     rng = np.random.default_rng(seed)
@@ -215,7 +222,7 @@ def in_fold(id_, folds: int, fold: int):
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 2800, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", through: tuple[str, ...] = ()) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 2000, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", through: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id (or the columns of docs in through), held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
     The model is fitted on at most most labelled rows whose crc32(id as text) mod folds isn't held_out; all rows
