@@ -42,36 +42,37 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _signatures(k: int, percent: int, frequent=None, wide: bool = False):
-    """mapInArrow: id, n, sig (of the whole set), key (of the prefix), prefix. wide: the prefix and some more, for the counts."""
+    """mapInArrow: id, n, f (how many shingles are frequent), sig (of the whole set), key (of the prefix), prefix. wide: the prefix and some more, for the counts."""
 
     def run(batches):
         last = frequent.value if frequent is not None else np.zeros(0, np.uint64)
         for batch in batches:
-            ns, sigs, keys, prefixes = [], [], [], []
+            ns, fs, sigs, keys, prefixes = [], [], [], [], []
             for found in shingle_sets(batch.column(1), k):
                 n = len(found)
                 p = prefix_length(n, percent)
                 if wide:
                     p = min(n, p + n // 16 + 4)
-                first = found[:p]
+                first, f = found[:p], 0
                 if len(last):
                     at = np.minimum(np.searchsorted(last, found), len(last) - 1)
                     hot = last[at] == found
                     if hot.any():
-                        first = np.concatenate([found[~hot], found[hot]])[:p]
+                        first, f = np.concatenate([found[~hot], found[hot]])[:p], int(hot.sum())
                 ns.append(n)
+                fs.append(f)
                 sigs.append(hashlib.md5(found.tobytes()).digest())
                 keys.append(hashlib.md5(first.tobytes()).digest())
                 prefixes.append(first.view(np.int64))
             lengths = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             arrays = pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary()), arrays], ["id", "n", "sig", "key", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(fs, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary()), arrays], ["id", "n", "f", "sig", "key", "prefix"])
 
     return run
 
 
-_SIGNATURE = "id long, n long, sig binary, key binary, prefix array<long>"
+_SIGNATURE = "id long, n long, f long, sig binary, key binary, prefix array<long>"
 
 
 def _frequent(pairs: DataFrame, k: int, percent: int):
@@ -80,7 +81,7 @@ def _frequent(pairs: DataFrame, k: int, percent: int):
     def shingles(batches):
         of = _signatures(k, percent, wide=True)
         for batch in of(batches):
-            values, counts = np.unique(batch.column(4).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            values, counts = np.unique(batch.column(5).flatten().to_numpy(zero_copy_only=False), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], ["s", "c"])
 
     counts = pairs.mapInArrow(shingles, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") > FREQUENT)
@@ -117,19 +118,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = _frequent(pairs, words, percent)
     rows = kept(pairs.mapInArrow(_signatures(words, percent, frequent), _SIGNATURE))
     some = rows.where("n > 0 and id is not null")
-    classes = some.groupBy("sig", "n").agg(F.min("id").alias("cid"), F.first("key").alias("key"), F.first("prefix").alias("prefix"))
-    classes = kept(classes.select("sig", "cid", "n", "key", "prefix"))
-    groups = classes.groupBy("key", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
-    members = kept(classes.join(groups.where("members > 1").select("key", "n", "gid"), ["key", "n"]).select("cid", "gid", "n").where("cid <> gid"))
+    classes = some.groupBy("sig", "n").agg(F.min("id").alias("cid"), F.first("f").alias("f"), F.first("key").alias("key"), F.first("prefix").alias("prefix"))
+    classes = kept(classes.select("sig", "cid", "n", "f", "key", "prefix"))
+    groups = classes.groupBy("key", "n", "f").agg(F.min("cid").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
+    members = kept(classes.join(groups.where("members > 1").select("key", "n", "f", "gid"), ["key", "n", "f"]).select("cid", "gid", "n").where("cid <> gid"))
 
     # the index: an entry is a shingle in the prefix of a group; those of one class go at once
-    entries = groups.select("gid", "n", "members", F.size("prefix").alias("p"), F.posexplode("prefix").alias("i", "s"))
+    entries = groups.select("gid", "n", "f", "members", F.size("prefix").alias("p"), F.posexplode("prefix").alias("i", "s"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
     shared = entries.groupBy("s").agg(F.sum("members").alias("c"), F.count("*").alias("groups")).where("c > 1").select("s", (F.col("groups") > CENTERED).alias("many"))
-    entries = kept(entries.join(shared, "s").select("s", "gid", "n", "i", "p", "many", band.alias("band")))
+    entries = kept(entries.join(shared, "s").select("s", "gid", "n", "f", "i", "p", "many", band.alias("band")))
     # what a set shares with another is at most its size less the shingles that it alone has; most sets end here
     most = entries.groupBy("gid").agg((F.max("n") - F.max("p") + F.count("*")).alias("most"), F.max("n").alias("size"))
-    entries = kept(entries.join(most.where(100 * F.col("most") >= percent * F.col("size")).select("gid", "most"), "gid").drop("p"))
+    entries = kept(entries.join(most.where(100 * F.col("most") >= percent * F.col("size")).select("gid", "most"), "gid"))
 
     # first links: a group's members with its smallest, entries of many with the center of their band and the band below
     many = entries.where("many")
@@ -142,18 +143,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(first)
 
     # then the entries of all classes that are still in different components of one shingle or one group
-    spread = entries.select("s", "gid", "n", "i", "most").join(members.select("gid", "cid"), "gid").select("s", "cid", "n", "i", "most")
-    every = entries.select("s", F.col("gid").alias("cid"), "n", "i", "most").unionByName(spread)
+    spread = entries.join(members.select("gid", "cid"), "gid").select("s", "cid", "n", "f", "p", "i", "most")
+    every = entries.select("s", F.col("gid").alias("cid"), "n", "f", "p", "i", "most").unionByName(spread)
     rooted = every.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     mixed = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
     rooted = kept(rooted.join(mixed, "s"))
-    x, y = (rooted.select("s", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "i", "most", "root"))) for side in "ab")
+    x, y = (rooted.select("s", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "f", "p", "i", "most", "root"))) for side in "ab")
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cid_a") < F.col("cid_b")))
     least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100.0 + percent) - 1e-9)
-    met = x.join(y, "s").where(smaller & (F.least("most_a", "most_b") >= least) & (F.col("root_a") != F.col("root_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")))
-    met = met.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("c"), F.max("i_a").alias("i_a"), F.max("i_b").alias("i_b"))
+    # sets that have too few frequent shingles must share others as well, and meet there; of those all others are in the prefix
+    rare = F.least("f_a", "f_b") < least
+    frequent_one = (F.col("i_a") >= F.col("n_a") - F.col("f_a")) & (F.col("i_b") >= F.col("n_b") - F.col("f_b"))
+    met = x.join(y, "s").where(smaller & ~(frequent_one & rare) & (F.least("most_a", "most_b") >= least) & (F.col("root_a") != F.col("root_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")))
+    met = met.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), "n_a", "n_b", "f_a", "f_b", "p_a", "p_b").agg(F.count("*").alias("c"), F.max("i_a").alias("i_a"), F.max("i_b").alias("i_b"))
     room = F.least(F.col("n_a") - F.col("i_a") - 1, F.col("n_b") - F.col("i_b") - 1)
-    late = met.where((F.col("c") >= F.least(F.lit(COMMON), least)) & (F.col("c") + room >= least)).select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    seen = rare & (F.col("n_a") - F.col("f_a") <= F.col("p_a")) & (F.col("n_b") - F.col("f_b") <= F.col("p_b"))
+    enough = (F.col("c") >= F.least(F.lit(COMMON), least)) & (F.col("c") + room >= least)
+    late = met.where(F.when(seen, F.col("c") + F.least("f_a", "f_b") >= least).otherwise(enough)).select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = kept(verified(late, pairs, words, percent))
     roots = components(first.unionByName(second)) if second.take(1) else roots
 

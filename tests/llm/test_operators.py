@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from strandlake.llm import chaining, grammars, suffix_tree, tiling, words
+from strandlake.llm import chaining, grammars, jaccard, suffix_tree, tiling, words
 from strandlake.llm.jaccard import jaccard_components
 from strandlake.llm.mixing import curriculum, mix_sources, source_targets
 from strandlake.llm.multi_index import nearest
@@ -173,8 +173,10 @@ def test_decontamination(spark, docs, empty):
     assert tiling.decontaminate(docs, bench).count() == 0
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (1, 50)])
-def test_jaccard(docs, empty, k, percent):
+@pytest.mark.parametrize(("k", "percent", "frequent"), [(4, 85, 48), (5, 80, 2), (1, 50, 3), (2, 60, 4)])
+def test_jaccard(docs, empty, monkeypatch, k, percent, frequent):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)  # so that small data have frequent shingles and centers too
+    monkeypatch.setattr(jaccard, "CENTERED", frequent - 1)
     rows = [x for x in corpus() if x[0] is not None]
     sets = {}
     for x in rows:
