@@ -11,8 +11,10 @@ still follow; they are expanded to classes, and these are verified on whole text
 For a shingle of many groups the index does not emit all pairs at first: each entry meets one center
 of its size band, the group with most such shingles in its prefix, as a text has that others were
 copied from. Components follow from what is verified. Only entries that are still in different
-components meet each other then, so a cluster of n near copies costs about n verifications, and no
-link between different components is lost.
+components meet each other then. Those that were compared with one center, the hub, don't meet by
+their shingles, nearly all of which they share, but by how they differ from the hub: a second prefix
+join, of these differences. So a cluster of n near copies costs about n verifications, and no link
+between different components is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .frames import bounded_broadcast, components, kept
@@ -89,22 +92,81 @@ def _frequent(pairs: DataFrame, k: int, percent: int):
     return pairs.sparkSession.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of ids, those whose whole texts (id, text) link."""
+def compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids, compared on their whole texts (id, text).
+
+    Gives a, b, the sizes n_a and n_b of their sets, whether they link, and diff: what only one of them
+    has, or null if that is more than half of a.
+    """
 
     def run(batches):
         for batch in batches:
-            keep = [
-                100 * (both := len(np.intersect1d(x, y, assume_unique=True))) >= percent * (len(x) + len(y) - both) and both > 0
-                for x, y in zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = kept(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            rows = []
+            for x, y in zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True):
+                only = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(only)) // 2
+                linked = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+                rows.append((len(x), len(y), linked, only.view(np.int64) if 2 * len(only) <= len(x) else None))
+            n_a, n_b, linked, diff = zip(*rows, strict=True) if rows else ((), (), (), ())
+            columns = [batch.column(0), batch.column(1), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(linked, pa.bool_()), pa.array(diff, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n_a", "n_b", "linked", "diff"])
+
+    pairs = kept(pairs.where("a <> b").select("a", "b").distinct())
     ids = kept(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     some = texts.join(bounded_broadcast(ids, ids.count(), MOST_IDS), "id", "left_semi")
     left, right = (some.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a long, n_b long, linked boolean, diff array<long>")
+
+
+def links(found: DataFrame) -> DataFrame:
+    """Of compared pairs those that link, the smaller id first, each once."""
+    return found.where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def hubs(found: DataFrame) -> DataFrame:
+    """(cid, hub, n, hub_n, diff, d): of the ids that a was compared with and is near to, the one that most are near to.
+
+    An id with several texts has no one difference, and so no hub.
+    """
+    near = found.groupBy("a", "b").agg(F.min("diff").alias("diff"), (F.every(F.col("diff").isNotNull()) & (F.min("diff") == F.max("diff"))).alias("one"), F.max("n_a").alias("n"), F.max("n_b").alias("hub_n")).where("one")
+    votes = near.groupBy("b").agg(F.count("*").alias("votes"))
+    best = near.join(votes, "b").groupBy("a").agg(F.max(F.struct("votes", -F.col("b"), F.struct("b", "n", "hub_n", "diff"))).alias("best"))
+    chosen = best.select(F.col("a").alias("cid"), F.col("best.col3.*"))
+    return chosen.select("cid", F.col("b").alias("hub"), "n", "hub_n", "diff", F.size("diff").alias("d"))
+
+
+def around_hubs(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) near one hub, of different roots, that link: a prefix join of their differences to the hub.
+
+    near is what hubs gives, with root. With differences X and Y two sets differ in |X| + |Y| - 2 |X and Y|
+    shingles, and link if that is at most a share of both sizes. Unless both link with the hub, and so
+    have one root, X and Y then have some in common; how many follows from their sizes. What one has alone counts
+    for nothing, so edits of its own make a set's prefix shorter, and near copies that each were
+    edited elsewhere hardly meet.
+    """
+    share = (100 - percent) / (100 + percent)
+    bounds = near.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("most_n")).where("lo < hi").select("hub", "most_n")
+    some = kept(near.join(bounds, "hub"))
+    every = some.select("hub", "cid", "n", "hub_n", "most_n", "root", "d", F.explode("diff").alias("e"))
+    common = every.groupBy("hub", "e").agg(F.count("*").alias("c")).where("c > 1")
+    own = W.partitionBy("cid")
+    ranked = every.join(common, ["hub", "e"]).select("*", F.row_number().over(own.orderBy("c", "e")).alias("i"), F.count("*").over(own).alias("size"))
+    at_least = lambda x: F.greatest(F.lit(1), F.ceil(x - 1e-9))
+    with_more = at_least(F.greatest(F.col("d") - share / 2 * (F.col("n") + F.least(F.col("most_n").cast("double"), 100 / percent * F.col("n"))), (1 - share) / 2 * F.col("d")))
+    with_less = at_least((F.col("d") + 1 - share - share * (F.col("hub_n") + F.col("n"))) / 2)
+    ranked = kept(ranked.select("hub", "e", "cid", "n", "d", "root", "i", "size", with_more.alias("with_more"), with_less.alias("with_less")))
+    side = lambda c: (F.col(x).alias(f"{x}_{c}") for x in ("cid", "n", "d", "root", "i", "size"))
+    x = ranked.where("i <= size - with_more + 1").select("hub", "e", *side("a"))
+    y = ranked.where("i <= size - with_less + 1").select("hub", "e", *side("b"))
+    least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100.0 + percent) - 1e-9)
+    need = F.ceil((F.col("d_a") + F.col("d_b") - (F.col("n_a") + F.col("n_b") - 2 * least)) / 2)
+    less = (F.col("d_a") < F.col("d_b")) | ((F.col("d_a") == F.col("d_b")) & (F.col("cid_a") < F.col("cid_b")))
+    room = F.least("i_a", "i_b") + F.least(F.col("size_a") - F.col("i_a"), F.col("size_b") - F.col("i_b"))
+    met = x.join(y, ["hub", "e"]).where(less & (F.col("root_a") != F.col("root_b")) & (room >= need))
+    met = met.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), need.alias("need")).distinct()
+    diffs = some.select("cid", "diff")
+    both = met.join(diffs.select(F.col("cid").alias("a"), F.col("diff").alias("diff_a")), "a").join(diffs.select(F.col("cid").alias("b"), F.col("diff").alias("diff_b")), "b")
+    return both.where(F.size(F.array_intersect("diff_a", "diff_b")) >= F.col("need")).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -139,28 +201,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = many.select("s", "gid", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).join(centers, ["s", "band"])
     near = near.where("gid <> to").groupBy("gid", "to").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
     stars = near.select(F.col("gid").alias("a"), F.col("to").alias("b")).unionByName(members.select(F.col("cid").alias("a"), F.col("gid").alias("b")))
-    first = kept(verified(stars, pairs, words, percent))
+    found = kept(compared(stars, pairs, words, percent))
+    first = kept(links(found))
     roots = components(first)
+    rooted = lambda df: df.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    near = kept(rooted(hubs(found)))
 
-    # then the entries of all classes that are still in different components of one shingle or one group
+    # then the entries of all classes that are still in different components of one shingle or one group; those near one hub meet by their differences
     spread = entries.join(members.select("gid", "cid"), "gid").select("s", "cid", "n", "f", "p", "i", "most")
-    every = entries.select("s", F.col("gid").alias("cid"), "n", "f", "p", "i", "most").unionByName(spread)
-    rooted = every.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    mixed = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
-    rooted = kept(rooted.join(mixed, "s"))
-    x, y = (rooted.select("s", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "f", "p", "i", "most", "root"))) for side in "ab")
-    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cid_a") < F.col("cid_b")))
+    every = rooted(entries.select("s", F.col("gid").alias("cid"), "n", "f", "p", "i", "most").unionByName(spread))
+    of_hub = near.select("cid", "hub").unionByName(near.select(F.col("hub").alias("cid")).distinct().join(near.select("cid"), "cid", "left_anti").withColumn("hub", F.col("cid")))
+    every = every.join(of_hub, "cid", "left")
+    whose = F.coalesce("hub", "cid")
+    mixed = every.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(whose).alias("one"), F.max(whose).alias("other")).where("lo < hi and one < other").select("s")
+    every = kept(every.join(mixed, "s"))
+    x, y = (every.select("s", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "f", "p", "i", "most", "root", "hub"))) for side in "ab")
     least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100.0 + percent) - 1e-9)
     # sets that have too few frequent shingles must share others as well, and meet there; of those all others are in the prefix
     rare = F.least("f_a", "f_b") < least
     frequent_one = (F.col("i_a") >= F.col("n_a") - F.col("f_a")) & (F.col("i_b") >= F.col("n_b") - F.col("f_b"))
-    met = x.join(y, "s").where(smaller & ~(frequent_one & rare) & (F.least("most_a", "most_b") >= least) & (F.col("root_a") != F.col("root_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")))
+    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    may = ~(frequent_one & rare) & (F.least("most_a", "most_b") >= least) & (F.col("root_a") != F.col("root_b")) & sized
+    alone = x.where("hub_a is null").join(y, "s").where(may & (F.col("hub_b").isNotNull() | (F.col("cid_a") < F.col("cid_b"))))
+    of_s = kept(every.where("hub is not null").select("s", "hub").distinct())
+    other = of_s.select("s", F.col("hub").alias("hub_a")).join(of_s.select("s", F.col("hub").alias("hub_b")), "s").where("hub_a < hub_b")
+    across = other.join(x, ["s", "hub_a"]).join(y, ["s", "hub_b"]).where(may)
+    met = alone.unionByName(across)
     met = met.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), "n_a", "n_b", "f_a", "f_b", "p_a", "p_b").agg(F.count("*").alias("c"), F.max("i_a").alias("i_a"), F.max("i_b").alias("i_b"))
     room = F.least(F.col("n_a") - F.col("i_a") - 1, F.col("n_b") - F.col("i_b") - 1)
     seen = rare & (F.col("n_a") - F.col("f_a") <= F.col("p_a")) & (F.col("n_b") - F.col("f_b") <= F.col("p_b"))
     enough = (F.col("c") >= F.least(F.lit(COMMON), least)) & (F.col("c") + room >= least)
-    late = met.where(F.when(seen, F.col("c") + F.least("f_a", "f_b") >= least).otherwise(enough)).select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = kept(verified(late, pairs, words, percent))
+    late = met.where(F.when(seen, F.col("c") + F.least("f_a", "f_b") >= least).otherwise(enough)).select("a", "b").unionByName(around_hubs(near, percent))
+    late = late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(first, ["a", "b"], "left_anti")
+    second = kept(links(compared(late, pairs, words, percent)))
     roots = components(first.unionByName(second)) if second.take(1) else roots
 
     of = classes.select("sig", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("sig", F.col("cid").alias("class_id"), F.coalesce("root", "cid").alias("component_id"))

@@ -204,6 +204,44 @@ def test_jaccard(docs, empty, monkeypatch, k, percent, frequent):
     assert jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("k, percent, seed", [(4, 85, 1), (5, 80, 2)])
+def test_jaccard_cluster(spark, monkeypatch, k, percent, seed):
+    """Copies of copies of three texts, two of them alike: many don't link with the one most are near to, but with each other."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 6)
+    monkeypatch.setattr(jaccard, "CENTERED", 3)
+    rng = random.Random(seed)
+    texts = [prose(rng, 90).split(), prose(rng, 140).split()]
+    texts.append([f"own{i}" if i % 30 == 0 else w for i, w in enumerate(texts[0])])
+    for _ in range(170):
+        w = list(rng.choice(texts[:3] if rng.random() < 0.6 else texts))
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"odd{rng.randrange(10_000)}"
+        texts.append(w[rng.randint(0, 2) : len(w) - rng.randint(0, 2)])
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    repeated = [(7, " ".join(texts[9])), (8, " ".join(texts[8]))]  # an id with two texts, and a row twice
+    x, y = sorted((find(7), find(9)))
+    got = jaccard_components(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"), words=k, percent=percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in range(len(sets))}
+    assert len({r["component_id"] for r in got}) > 10
+    root[y] = x
+    twice = jaccard_components(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)] + repeated, "doc_id long, text string"), words=k, percent=percent).collect()
+    assert len(twice) == len(texts) + 2
+    for r in twice:
+        if find(r["doc_id"]) != find(7):
+            assert r["component_id"] == find(r["doc_id"])
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(3)
     bad = ["scoundrel", "villain", "wretch"]
