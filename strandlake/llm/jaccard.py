@@ -124,15 +124,15 @@ def links(found: DataFrame) -> DataFrame:
 
 
 def hubs(found: DataFrame) -> DataFrame:
-    """(cid, hub, n, hub_n, diff, d): of the ids that a was compared with and is near to, the one that most are near to.
+    """(cid, hub, votes, n, hub_n, diff, d): of the ids that a was compared with and is near to, the one that most are near to.
 
     An id with several texts has no one difference, and so no hub.
     """
     near = found.groupBy("a", "b").agg(F.min("diff").alias("diff"), (F.every(F.col("diff").isNotNull()) & (F.min("diff") == F.max("diff"))).alias("one"), F.max("n_a").alias("n"), F.max("n_b").alias("hub_n")).where("one")
     votes = near.groupBy("b").agg(F.count("*").alias("votes"))
     best = near.join(votes, "b").groupBy("a").agg(F.max(F.struct("votes", -F.col("b"), F.struct("b", "n", "hub_n", "diff"))).alias("best"))
-    chosen = best.select(F.col("a").alias("cid"), F.col("best.col3.*"))
-    return chosen.select("cid", F.col("b").alias("hub"), "n", "hub_n", "diff", F.size("diff").alias("d"))
+    chosen = best.select(F.col("a").alias("cid"), "best.votes", F.col("best.col3.*"))
+    return chosen.select("cid", F.col("b").alias("hub"), "votes", "n", "hub_n", "diff", F.size("diff").alias("d"))
 
 
 def around_hubs(near: DataFrame, percent: int) -> DataFrame:
@@ -202,6 +202,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = near.where("gid <> to").groupBy("gid", "to").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
     stars = near.select(F.col("gid").alias("a"), F.col("to").alias("b")).unionByName(members.select(F.col("cid").alias("a"), F.col("gid").alias("b")))
     found = kept(compared(stars, pairs, words, percent))
+    # what is near a lesser hub, is compared with that hub's own as well, so that a cluster has one
+    lesser = kept(hubs(found).select("cid", "hub", "votes"))
+    greater = lesser.select(F.col("cid").alias("hub"), F.col("hub").alias("up"), F.col("votes").alias("more"))
+    up = lesser.join(greater, "hub").where("more > votes").select(F.col("cid").alias("a"), F.col("up").alias("b"))
+    found = kept(found.unionByName(compared(up.join(found.select("a", "b"), ["a", "b"], "left_anti"), pairs, words, percent)))
     first = kept(links(found))
     roots = components(first)
     rooted = lambda df: df.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
