@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytic, tabular
+from .plans import analytic, records, tabular
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return tabular.QUERIES | analytic.QUERIES
+    return tabular.QUERIES | analytic.QUERIES | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return tabular.SQL | analytic.SQL
+    return tabular.SQL | analytic.SQL | records.SQL
