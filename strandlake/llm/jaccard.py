@@ -96,7 +96,7 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     """Pairs (a, b) of ids, compared on their whole texts (id, text).
 
     Gives a, b, the sizes n_a and n_b of their sets, whether they link, and diff: what only one of them
-    has, or null if that is more than half of a.
+    has, or null if that is more than a has.
     """
 
     def run(batches):
@@ -106,7 +106,7 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 only = np.setxor1d(x, y, assume_unique=True)
                 both = (len(x) + len(y) - len(only)) // 2
                 linked = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-                rows.append((len(x), len(y), linked, only.view(np.int64) if 2 * len(only) <= len(x) else None))
+                rows.append((len(x), len(y), linked, only.view(np.int64) if len(only) <= len(x) else None))
             n_a, n_b, linked, diff = zip(*rows, strict=True) if rows else ((), (), (), ())
             columns = [batch.column(0), batch.column(1), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(linked, pa.bool_()), pa.array(diff, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n_a", "n_b", "linked", "diff"])
