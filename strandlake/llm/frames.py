@@ -20,6 +20,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
+    """kept(df), read in no more partitions than its rows need, so that the shuffles of a small one don't write many tiny files.
+
+    Rows are neither dropped nor moved between executors for it; df's own work keeps its partitions.
+    """
+    df = kept(df)
+    return df.coalesce(max(1, -(-df.count() // rows_per_task)))
+
+
 def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df
@@ -34,18 +43,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates two steps that rewire each node's neighbours to the smallest of them, until the
     links are stars. Each step is a grouped minimum and a join, whose hot nodes adaptive
-    execution splits; nothing is collected but the count of links and a checksum of them.
+    execution splits; nothing is collected but the count of links and a checksum of them. Links that
+    fit in one task are settled in one, without a shuffle.
     """
-    edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = settled(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    ways = lambda x, y: F.explode(F.array(F.struct(F.col(x).alias("u"), F.col(y).alias("v")), F.struct(F.col(y).alias("u"), F.col(x).alias("v")))).alias("way")
     seen = None
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(ways("u", "v")).select("way.*")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u")
-        small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(pairs.select("u", F.col("m").alias("v")))
-        edges = kept(small.where("u <> v").distinct())
+        small = pairs.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        edges = settled(small.where("u <> v").distinct())
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

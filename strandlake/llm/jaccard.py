@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import bounded_broadcast, components, kept
+from .frames import bounded_broadcast, components, kept, settled
 from .words import shingle_sets
 
 #: A shingle in more prefixes than this comes last in the order; of these the most frequent count, as many as are broadcast.
@@ -37,6 +37,8 @@ FREQUENT, MOST_FREQUENT = 48, 2_000_000
 COMMON, CENTERED = 3, 16
 #: Ids (8 bytes each) that are broadcast at most, to pick the texts to verify; beyond it that join is shuffled.
 MOST_IDS = 2_000_000
+#: Compared pairs, which carry up to a set's size of differences, that one task reads.
+PAIRS_PER_TASK = 4096
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -146,7 +148,7 @@ def around_hubs(near: DataFrame, percent: int) -> DataFrame:
     """
     share = (100 - percent) / (100 + percent)
     bounds = near.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("most_n")).where("lo < hi").select("hub", "most_n")
-    some = kept(near.join(bounds, "hub"))
+    some = settled(near.join(bounds, "hub"), PAIRS_PER_TASK)
     every = some.select("hub", "cid", "n", "hub_n", "most_n", "root", "d", F.explode("diff").alias("e"))
     common = every.groupBy("hub", "e").agg(F.count("*").alias("c")).where("c > 1")
     own = W.partitionBy("cid")
@@ -201,16 +203,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = many.select("s", "gid", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).join(centers, ["s", "band"])
     near = near.where("gid <> to").groupBy("gid", "to").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
     stars = near.select(F.col("gid").alias("a"), F.col("to").alias("b")).unionByName(members.select(F.col("cid").alias("a"), F.col("gid").alias("b")))
-    found = kept(compared(stars, pairs, words, percent))
+    found = settled(compared(stars, pairs, words, percent), PAIRS_PER_TASK)
     # what is near a lesser hub, is compared with that hub's own as well, so that a cluster has one
-    lesser = kept(hubs(found).select("cid", "hub", "votes"))
+    lesser = settled(hubs(found).select("cid", "hub", "votes"))
     greater = lesser.select(F.col("cid").alias("hub"), F.col("hub").alias("up"), F.col("votes").alias("more"))
     up = lesser.join(greater, "hub").where("more > votes").select(F.col("cid").alias("a"), F.col("up").alias("b"))
-    found = kept(found.unionByName(compared(up.join(found.select("a", "b"), ["a", "b"], "left_anti"), pairs, words, percent)))
-    first = kept(links(found))
+    found = settled(found.unionByName(compared(up.join(found.select("a", "b"), ["a", "b"], "left_anti"), pairs, words, percent)), PAIRS_PER_TASK)
+    first = settled(links(found))
     roots = components(first)
     rooted = lambda df: df.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    near = kept(rooted(hubs(found)))
+    near = settled(rooted(hubs(found)), PAIRS_PER_TASK)
 
     # then the entries of all classes that are still in different components of one shingle or one group; those near one hub meet by their differences
     spread = entries.join(members.select("gid", "cid"), "gid").select("s", "cid", "n", "f", "p", "i", "most")
@@ -238,7 +240,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     enough = (F.col("c") >= F.least(F.lit(COMMON), least)) & (F.col("c") + room >= least)
     late = met.where(F.when(seen, F.col("c") + F.least("f_a", "f_b") >= least).otherwise(enough)).select("a", "b").unionByName(around_hubs(near, percent))
     late = late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(first, ["a", "b"], "left_anti")
-    second = kept(links(compared(late, pairs, words, percent)))
+    second = settled(links(compared(late, pairs, words, percent)))
     roots = components(first.unionByName(second)) if second.take(1) else roots
 
     of = classes.select("sig", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("sig", F.col("cid").alias("class_id"), F.coalesce("root", "cid").alias("component_id"))
