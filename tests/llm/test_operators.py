@@ -285,6 +285,21 @@ def test_passages(spark, docs, empty):
     assert {r["doc_id"] for r in chaining.repeated_passages(docs).collect()} >= {61}
 
 
+@pytest.mark.parametrize("pairs", [1024, 1])
+def test_passages_of_pieces_that_smaller_ids_hold(spark, monkeypatch, pairs):
+    monkeypatch.setattr(chaining, "PAIRS", pairs)
+    rng = random.Random(12)
+    rows, want = [], set()
+    for g in range(0, 60, 6):
+        a, b = prose(rng, 30), prose(rng, 30)
+        texts = [a, b, f"{a} {b}", a, b, f"{a} {b}"]  # of two with both, each piece is in a smaller id and in one between
+        rows += [(g + i, f"{prose(rng, 40)} {t} {prose(rng, 40)}") for i, t in enumerate(texts)]
+        want.add((g + 5, g + 2))
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == want
+    assert all(r["n_words"] >= 60 for r in got)
+
+
 def test_secrets(spark, docs, empty):
     rng = random.Random(4)
     key = lambda n, a="0123456789abcdef": "".join(rng.choice(a) for _ in range(n))
