@@ -122,6 +122,15 @@ def bind_circular(spark, sf):
     return rows.where("vec_id < 20").join(F.broadcast(key)).select("vec_id", F.posexplode(V.circular(F.col("embedding"), F.col("k"))).alias("pos", "v")).select("vec_id", "pos", F.round("v", 6).alias("value"))  # one key
 
 
+@query("""WITH a AS (SELECT vec_id, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS x FROM embeddings), b AS (SELECT unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS y FROM embeddings WHERE vec_id = 1)
+SELECT vec_id, ((j + k) % 64)::INT AS pos, round(sum(x * y), 6) AS value FROM a, b GROUP BY vec_id, (j + k) % 64""")
+def bind_circular_all(spark, sf):
+    """Every vector bound with that of vec_id 1."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    key = rows.where("vec_id = 1").select(F.col("embedding").alias("k"))
+    return rows.join(F.broadcast(key)).select("vec_id", F.posexplode(V.circular(F.col("embedding"), F.col("k"))).alias("pos", "v")).select("vec_id", "pos", F.round("v", 6).alias("value"))  # one key
+
+
 @query(None)
 def ledger_head(spark, sf):
     """The last hash of each user's chain of events."""

@@ -44,3 +44,12 @@ def test_vcf_and_bed(spark):
     lines = spark.createDataFrame([("##x",), ("\t".join(["1", "7", ".", "A", "G", "50", "PASS", ".", "GT:DP", "0/1:33"]),), ("short",)], "value string")
     assert [tuple(x) for x in vcf_calls(lines).collect()] == [("1", 7, "A", "G", 50.0, "0/1", 33)]
     assert [x["pos"] for x in bed_positions(spark.createDataFrame([("1\t3\t5",)], "value string")).collect()] == [3, 4, 5]
+
+
+def test_bind_circular_all_has_every_vector(spark):
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()}
+    got = {(r["vec_id"], r["pos"]): r["value"] for r in catalog.queries()["bind_circular_all"](spark, FOLDER).collect()}
+    assert len(got) == 64 * len(vectors)
+    last = max(vectors)
+    for i in (0, 63):
+        assert abs(got[last, i] - sum(vectors[last][j] * vectors[1][(i - j) % 64] for j in range(64))) < 2e-5
