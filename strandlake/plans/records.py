@@ -165,6 +165,15 @@ def quantize_int8(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(q, ", "), F.lit("]")).alias("q"))
 
 
+@query("""WITH s AS (SELECT vec_id, embedding, greatest(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 1e-8) AS top FROM embeddings)
+SELECT vec_id, pos::INT AS pos, round_even(x::DOUBLE / top * 127, 0)::INT AS q FROM (SELECT vec_id, top, unnest(range(len(embedding))) AS pos, unnest(embedding) AS x FROM s)""")
+def quantize_int8_all(spark, sf):
+    """Every component in steps of 1/127 of its vector's largest, halves to even."""
+    top = F.greatest(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))), F.lit(1e-8))
+    cells = table(spark, sf, "embeddings").select("vec_id", top.alias("top"), F.posexplode("embedding").alias("pos", "x"))
+    return cells.select("vec_id", "pos", F.bround(F.col("x").cast("double") / F.col("top") * 127).cast("int").alias("q"))
+
+
 @query("SELECT vec_id, lane::INT AS lane, sum(CASE WHEN x > 0 THEN 1::BIGINT << (pos % 32)::INT ELSE 0 END)::BIGINT AS bits FROM (SELECT vec_id, unnest(range(64)) AS pos, unnest(embedding) AS x, unnest(range(64)) // 32 AS lane FROM embeddings) GROUP BY vec_id, lane")
 def pack_bits(spark, sf):
     """Signs as bits, the lowest first, in lanes of 32."""

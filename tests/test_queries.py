@@ -53,3 +53,11 @@ def test_bind_circular_all_has_every_vector(spark):
     last = max(vectors)
     for i in (0, 63):
         assert abs(got[last, i] - sum(vectors[last][j] * vectors[1][(i - j) % 64] for j in range(64))) < 2e-5
+
+
+def test_quantize_int8_all_scales_by_the_maximum(spark, tmp_path):
+    rows = [(1, [0.5, -2.0, 1.0] + [0.0] * 6 + [1.5]), (2, [0.0] * 10)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["vec_id"], r["pos"]): r["q"] for r in catalog.queries()["quantize_int8_all"](spark, str(tmp_path)).collect()}
+    assert [got[1, i] for i in range(10)] == [32, -127, 64, 0, 0, 0, 0, 0, 0, 95]
+    assert [got[2, i] for i in range(10)] == [0] * 10
