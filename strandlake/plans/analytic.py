@@ -163,6 +163,36 @@ def pii_redact(spark, sf):
     return table(spark, sf, "documents").where(F.col("text").rlike(EMAIL)).select("doc_id", F.md5(F.regexp_replace("text", EMAIL, "[EMAIL]").cast("binary")).alias("redacted"))
 
 
+#: The kinds of personal data in order of precedence.
+PII = {
+    "email": r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[A-Za-z]{2,}\b",
+    "phone": r"\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}\b",
+    "ipv4": r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b",
+    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+}
+ANY_PII = "|".join(PII.values())
+PII_COUNTS = ", ".join(f"len(regexp_extract_all(text, '{x}')) AS n_{k}" for k, x in PII.items())
+PII_REDACTED = "text"
+for _kind, _pattern in PII.items():
+    PII_REDACTED = f"regexp_replace({PII_REDACTED}, '{_pattern}', '[{_kind.upper()}]', 'g')"
+
+
+@query(f"SELECT doc_id, {PII_COUNTS} FROM documents WHERE regexp_matches(text, '{ANY_PII}')")
+def pii_detect_all(spark, sf):
+    """Matches of each kind, which may overlap."""
+    counts = [F.regexp_count("text", F.lit(x)).cast("long").alias(f"n_{k}") for k, x in PII.items()]
+    return table(spark, sf, "documents").where(F.col("text").rlike(ANY_PII)).select("doc_id", *counts)
+
+
+@query(f"SELECT doc_id, md5({PII_REDACTED}) AS redacted FROM documents WHERE regexp_matches(text, '{ANY_PII}')")
+def pii_redact_all(spark, sf):
+    """Each kind replaced in turn, so that an earlier kind takes what two have in common."""
+    text = F.col("text")
+    for kind, pattern in PII.items():
+        text = F.regexp_replace(text, pattern, f"[{kind.upper()}]")
+    return table(spark, sf, "documents").where(F.col("text").rlike(ANY_PII)).select("doc_id", F.md5(text.cast("binary")).alias("redacted"))
+
+
 @query("SELECT doc_id, i - 1 AS line, md5(l) AS line_md5 FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents)) WHERE contains(lower(l), 'token')")
 def phi_scan_lines(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "l"))

@@ -1,5 +1,6 @@
 """Every query with SQL, against DuckDB on the same tables."""
 
+import hashlib
 import os
 
 import duckdb
@@ -61,3 +62,13 @@ def test_quantize_int8_all_scales_by_the_maximum(spark, tmp_path):
     got = {(r["vec_id"], r["pos"]): r["q"] for r in catalog.queries()["quantize_int8_all"](spark, str(tmp_path)).collect()}
     assert [got[1, i] for i in range(10)] == [32, -127, 64, 0, 0, 0, 0, 0, 0, 95]
     assert [got[2, i] for i in range(10)] == [0] * 10
+
+
+def test_pii_all_has_four_kinds(spark, tmp_path):
+    texts = ["mail a.b@c.org or 555-123-4567", "from 10.0.0.255, not 10.0.0.256x", "ssn 123-45-6789.", "nothing 12-34", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {tuple(r) for r in catalog.queries()["pii_detect_all"](spark, str(tmp_path)).collect()}
+    assert found == {(0, 1, 1, 0, 0), (1, 0, 0, 1, 0), (2, 0, 0, 0, 1)}
+    redacted = {r["doc_id"]: r["redacted"] for r in catalog.queries()["pii_redact_all"](spark, str(tmp_path)).collect()}
+    want = {0: "mail [EMAIL] or [PHONE]", 1: "from [IPV4], not 10.0.0.256x", 2: "ssn [SSN]."}
+    assert redacted == {i: hashlib.md5(x.encode()).hexdigest() for i, x in want.items()}
