@@ -92,6 +92,12 @@ def one_to_many_top(spark, sf):
     return table(spark, sf, "lineitem").withColumn("r", F.row_number().over(w)).where("r <= 2").select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r <= 10")
+def one_to_many_top10(spark, sf):
+    w = W.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
+    return table(spark, sf, "lineitem").withColumn("r", F.row_number().over(w)).where("r <= 10").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
 def consent_semi(spark, sf):
     return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_orderstatus = 'O'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")

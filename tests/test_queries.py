@@ -72,3 +72,8 @@ def test_pii_all_has_four_kinds(spark, tmp_path):
     redacted = {r["doc_id"]: r["redacted"] for r in catalog.queries()["pii_redact_all"](spark, str(tmp_path)).collect()}
     want = {0: "mail [EMAIL] or [PHONE]", 1: "from [IPV4], not 10.0.0.256x", 2: "ssn [SSN]."}
     assert redacted == {i: hashlib.md5(x.encode()).hexdigest() for i, x in want.items()}
+
+
+def test_one_to_many_top10_keeps_ten_rows(spark):
+    counts = catalog.queries()["one_to_many_top10"](spark, FOLDER).groupBy("l_suppkey").count()
+    assert counts.agg({"count": "max"}).first()[0] == 10
