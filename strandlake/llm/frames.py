@@ -3,30 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Links that one task settles (16 bytes each); more are settled by joins.
+MOST_LINKS = 2_000_000
 
-def kept(df: DataFrame) -> DataFrame:
-    """df by checkpoint() in the folder that spark.checkpoint.dir names, which executors share; a lost executor loses nothing.
 
-    Only where the setting is missing, as in local tests, a temporary folder takes its place.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which executors share. Only a local master may do without the setting."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
-def settled(df: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
-    """kept(df), read in no more partitions than its rows need, so that the shuffles of a small one don't write many tiny files.
+def kept(df: DataFrame) -> DataFrame:
+    """df, written as Parquet in the shared folder and read from there: its lineage ends, and a lost executor loses nothing.
 
-    Rows are neither dropped nor moved between executors for it; df's own work keeps its partitions.
+    Columns that aren't read again are not read, and small tables come back in few partitions.
     """
-    df = kept(df)
-    return df.coalesce(max(1, -(-df.count() // rows_per_task)))
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
@@ -38,27 +46,55 @@ def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def settle(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of each node of links u-v that isn't its component's smallest, by pointer jumping."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        # the smaller root of each link goes to both ends and to the roots they had
+        for end in (a, b):
+            np.minimum.at(root, before[end], low)
+            np.minimum.at(root, end, low)
+        while not np.array_equal(jumped := root[root], root):
+            root = jumped
+        if (root == before).all():
+            some = root != np.arange(len(nodes))
+            return nodes[some], nodes[root[some]]
+
+
+def _settled_in_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+    if ends:
+        node, root = settle(*(np.concatenate(x) for x in zip(*ends, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], ["node", "root"])
+
+
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b), as rows (node, root) for each node that is not its component's smallest.
 
-    Alternates two steps that rewire each node's neighbours to the smallest of them, until the
-    links are stars. Each step is a grouped minimum and a join, whose hot nodes adaptive
-    execution splits; nothing is collected but the count of links and a checksum of them. Links that
-    fit in one task are settled in one, without a shuffle.
+    At most MOST_LINKS links, which take a known amount of memory, are settled in one task by pointer
+    jumping. More alternate two steps that rewire each node's neighbours to the smallest of them,
+    until the links are stars. Each step is a grouped minimum and a join, whose hot nodes adaptive
+    execution splits; nothing is collected but the count of links and a checksum of them. Each pair of
+    steps that changes anything lowers some node's neighbour, so it ends.
     """
-    edges = settled(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.count() <= MOST_LINKS:
+        return kept(edges.repartition(1).mapInArrow(_settled_in_one, "node long, root long"))
     ways = lambda x, y: F.explode(F.array(F.struct(F.col(x).alias("u"), F.col(y).alias("v")), F.struct(F.col(y).alias("u"), F.col(x).alias("v")))).alias("way")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = edges.select(ways("u", "v")).select("way.*")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u")
         small = pairs.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        edges = settled(small.where("u <> v").distinct())
+        edges = kept(small.where("u <> v").distinct())
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

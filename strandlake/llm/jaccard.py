@@ -28,17 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import bounded_broadcast, components, kept, settled
+from .frames import bounded_broadcast, components, kept
 from .words import shingle_sets
 
 #: A shingle in more prefixes than this comes last in the order; of these the most frequent count, as many as are broadcast.
 FREQUENT, MOST_FREQUENT = 48, 2_000_000
 #: Shingles that the prefixes of two linked sets have in common; entries from which on a shingle has a center.
 COMMON, CENTERED = 3, 16
-#: Ids (8 bytes each) that are broadcast at most, to pick the texts to verify; beyond it that join is shuffled.
+#: Ids (8 bytes each) and centers (24 bytes) that are broadcast at most; beyond it those joins are shuffled.
 MOST_IDS = 2_000_000
-#: Compared pairs, which carry up to a set's size of differences, that one task reads.
-PAIRS_PER_TASK = 4096
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -148,7 +146,7 @@ def around_hubs(near: DataFrame, percent: int) -> DataFrame:
     """
     share = (100 - percent) / (100 + percent)
     bounds = near.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("most_n")).where("lo < hi").select("hub", "most_n")
-    some = settled(near.join(bounds, "hub"), PAIRS_PER_TASK)
+    some = kept(near.join(bounds, "hub"))
     every = some.select("hub", "cid", "n", "hub_n", "most_n", "root", "d", F.explode("diff").alias("e"))
     common = every.groupBy("hub", "e").agg(F.count("*").alias("c")).where("c > 1")
     own = W.partitionBy("cid")
@@ -177,21 +175,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A null or wordless text has no shingles and links with nothing, not with its like. A text of fewer
     words than a shingle is one shingle. A row with a null id is counted and has neither class nor
     component. Rows that repeat an id stay rows; with different texts, each joins its own text's component.
+    An empty table gives no rows; other columns of docs are not read.
     """
-    pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    frequent = _frequent(pairs, words, percent)
-    rows = kept(pairs.mapInArrow(_signatures(words, percent, frequent), _SIGNATURE))
-    some = rows.where("n > 0 and id is not null")
-    classes = some.groupBy("sig", "n").agg(F.min("id").alias("cid"), F.first("f").alias("f"), F.first("key").alias("key"), F.first("prefix").alias("prefix"))
-    classes = kept(classes.select("sig", "cid", "n", "f", "key", "prefix"))
-    groups = classes.groupBy("key", "n", "f").agg(F.min("cid").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
-    members = kept(classes.join(groups.where("members > 1").select("key", "n", "f", "gid"), ["key", "n", "f"]).select("cid", "gid", "n").where("cid <> gid"))
+    text = F.col(text_col).cast("string")
+    pairs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    signed = pairs.mapInArrow(_signatures(words, percent, _frequent(pairs, words, percent)), _SIGNATURE)
+    # prefixes are neither written nor shuffled but once, to their groups; a second scan is cheaper
+    rows = kept(signed.drop("prefix"))
+    usable = F.col("id").isNotNull() & (F.col("n") > 0)
+    classes = kept(rows.where(usable).groupBy("sig", "n").agg(F.min("id").alias("cid"), F.first("f").alias("f"), F.first("key").alias("key")))
+    groups = classes.groupBy("key", "n", "f").agg(F.min("cid").alias("gid"), F.count("*").alias("members")).where("members > 1")
+    members = kept(classes.join(groups, ["key", "n", "f"]).select("cid", "gid", "n", "members").where("cid <> gid"))
+    sizes = members.groupBy("gid").agg(F.max("members").alias("members"))
+    groups = signed.where(usable).groupBy("key", "n", "f").agg(F.min("id").alias("gid"), F.first("prefix").alias("prefix"))
 
     # the index: an entry is a shingle in the prefix of a group; those of one class go at once
-    entries = groups.select("gid", "n", "f", "members", F.size("prefix").alias("p"), F.posexplode("prefix").alias("i", "s"))
+    entries = groups.join(sizes, "gid", "left").select("gid", *(F.col(c).cast("int").alias(c) for c in ("n", "f")), F.coalesce("members", F.lit(1)).alias("members"), F.size("prefix").alias("p"), F.posexplode("prefix").alias("i", "s"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
     shared = entries.groupBy("s").agg(F.sum("members").alias("c"), F.count("*").alias("groups")).where("c > 1").select("s", (F.col("groups") > CENTERED).alias("many"))
-    entries = kept(entries.join(shared, "s").select("s", "gid", "n", "f", "i", "p", "many", band.alias("band")))
+    entries = kept(entries.join(shared.hint("merge"), "s").select("s", "gid", "n", "f", "i", "p", "many", band.alias("band")))
     # what a set shares with another is at most its size less the shingles that it alone has; most sets end here
     most = entries.groupBy("gid").agg((F.max("n") - F.max("p") + F.count("*")).alias("most"), F.max("n").alias("size"))
     entries = kept(entries.join(most.where(100 * F.col("most") >= percent * F.col("size")).select("gid", "most"), "gid"))
@@ -199,20 +201,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # first links: a group's members with its smallest, entries of many with the center of their band and the band below
     many = entries.where("many")
     many = many.join(many.groupBy("gid").agg((-F.count("*")).alias("rank")), "gid")
-    centers = many.groupBy("s", "band").agg(F.min(F.struct("rank", "gid")).alias("top")).select("s", "band", F.col("top.gid").alias("to"))
+    centers = kept(many.groupBy("s", "band").agg(F.min(F.struct("rank", "gid")).alias("top")).select("s", "band", F.col("top.gid").alias("to")))
+    centers = bounded_broadcast(centers, centers.count(), MOST_IDS)
     near = many.select("s", "gid", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).join(centers, ["s", "band"])
     near = near.where("gid <> to").groupBy("gid", "to").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
     stars = near.select(F.col("gid").alias("a"), F.col("to").alias("b")).unionByName(members.select(F.col("cid").alias("a"), F.col("gid").alias("b")))
-    found = settled(compared(stars, pairs, words, percent), PAIRS_PER_TASK)
+    found = kept(compared(stars, pairs, words, percent))
     # what is near a lesser hub, is compared with that hub's own as well, so that a cluster has one
-    lesser = settled(hubs(found).select("cid", "hub", "votes"))
+    lesser = kept(hubs(found).select("cid", "hub", "votes"))
     greater = lesser.select(F.col("cid").alias("hub"), F.col("hub").alias("up"), F.col("votes").alias("more"))
     up = lesser.join(greater, "hub").where("more > votes").select(F.col("cid").alias("a"), F.col("up").alias("b"))
-    found = settled(found.unionByName(compared(up.join(found.select("a", "b"), ["a", "b"], "left_anti"), pairs, words, percent)), PAIRS_PER_TASK)
-    first = settled(links(found))
+    found = kept(found.unionByName(compared(up.join(found.select("a", "b"), ["a", "b"], "left_anti"), pairs, words, percent)))
+    first = kept(links(found))
     roots = components(first)
     rooted = lambda df: df.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    near = settled(rooted(hubs(found)), PAIRS_PER_TASK)
+    near = kept(rooted(hubs(found)))
 
     # then the entries of all classes that are still in different components of one shingle or one group; those near one hub meet by their differences
     spread = entries.join(members.select("gid", "cid"), "gid").select("s", "cid", "n", "f", "p", "i", "most")
@@ -240,7 +243,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     enough = (F.col("c") >= F.least(F.lit(COMMON), least)) & (F.col("c") + room >= least)
     late = met.where(F.when(seen, F.col("c") + F.least("f_a", "f_b") >= least).otherwise(enough)).select("a", "b").unionByName(around_hubs(near, percent))
     late = late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(first, ["a", "b"], "left_anti")
-    second = settled(links(compared(late, pairs, words, percent)))
+    second = kept(links(compared(late, pairs, words, percent)))
     roots = components(first.unionByName(second)) if second.take(1) else roots
 
     of = classes.select("sig", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("sig", F.col("cid").alias("class_id"), F.coalesce("root", "cid").alias("component_id"))
