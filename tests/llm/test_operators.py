@@ -266,9 +266,67 @@ def test_toxicity(spark, empty):
 
 
 def test_chains():
-    found = chaining.chains([(0, 10), (5, 15), (9, 19), (2, 300), (100, 3)], 6)
-    assert found[0] == [(0, 10), (5, 15), (9, 19)]
-    assert sorted(x for part in found for x in part) == [(0, 10), (2, 300), (5, 15), (9, 19), (100, 3)]
+    found = chaining.chains([(0, 10, 6), (8, 18, 6), (19, 29, 6), (2, 300, 6), (100, 3, 6)], 6)
+    assert found[0] == [(0, 10, 6), (8, 18, 6), (19, 29, 6)]
+    assert sorted(x for part in found for x in part) == [(0, 10, 6), (2, 300, 6), (8, 18, 6), (19, 29, 6), (100, 3, 6)]
+
+
+def test_chains_equal_brute_force(monkeypatch):
+    """The best chain's score, against all predecessors tried one by one."""
+    monkeypatch.setattr(chaining, "GAP", 1000)
+    rng = random.Random(3)
+    for _ in range(200):
+        runs = sorted({(rng.randrange(60), rng.randrange(60), rng.randint(4, 9)) for _ in range(rng.randint(1, 25))})
+        best = []
+        for j, (x, y, n) in enumerate(runs):
+            before = [best[i] - chaining.COST * (x + y - (u + m - 4) - (v + m - 4) - 8) for i, (u, v, m) in enumerate(runs[:j]) if u + m - 4 < x and v + m - 4 < y]
+            best.append(n + max([0, *before]))
+        found = chaining.chains(runs, 4)
+        first = found[0]
+        total = sum(n for *_, n in first) - sum(chaining.COST * (x + y - (u + m) - (v + m)) for (u, v, m), (x, y, _) in zip(first, first[1:], strict=False))
+        assert math.isclose(total, max(best)), (runs, first)
+
+
+def brute_shared(a, b, least):
+    """Whether a and b have least words in a row in common."""
+    own = {tuple(a[i : i + least]) for i in range(len(a) - least + 1)}
+    return any(tuple(b[i : i + least]) in own for i in range(len(b) - least + 1))
+
+
+def test_passages_equal_brute_force(spark):
+    """Exact passages over random small corpora: each text that shares 60 words with an earlier one has a row, and none has one that shares less than 30."""
+    rng = random.Random(21)
+    pieces = [prose(rng, rng.choice([25, 60, 75, 90])).split() for _ in range(30)]
+    texts = []
+    for _ in range(150):
+        w = []
+        for _ in range(rng.randint(1, 3)):
+            w += prose(rng, rng.randint(5, 40)).split()
+            if rng.random() < 0.6:
+                w += rng.choice(pieces)
+        texts.append(w)
+    texts += [texts[3], ["one"], []]
+    got = {r["doc_id"] for r in chaining.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()}
+    must = {j for j in range(len(texts)) if any(brute_shared(texts[i], texts[j], 60) for i in range(j))}
+    may = {j for j in range(len(texts)) if any(brute_shared(texts[i], texts[j], 30) for i in range(j))}
+    assert len(must) > 20 and must <= got <= may
+
+
+def test_fuzzy_recall():
+    """Of passages of 50 and of 100 words in other texts, most are found with every twentieth word replaced, and 100 words with every tenth."""
+    rng = np.random.default_rng(2)
+    words = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for n, rate, least_share in ((50, 0.05, 0.9), (100, 0.05, 0.98), (100, 0.1, 0.9)):
+        found = 0
+        for _ in range(100):
+            p = words(n)
+            q = p.copy()
+            changed = rng.choice(n, int(rate * n), replace=False)
+            q[changed] = words(len(changed))
+            a, b = (np.concatenate([words(80), x, words(60)]) for x in (p, q))
+            keys = [set(chaining.strobes(x, np.array([0, len(x)]), 4, 6, 14, 28)[1].tolist()) for x in (a, b)]
+            found += bool(keys[0] & keys[1]) and any(e - s >= 0.9 * n for s, e, *_ in chaining.passages(a, b, 4, 6, 40, 0.75))
+        assert found >= least_share * 100, (n, rate, found)
 
 
 def test_passages(spark, docs, empty):
@@ -285,9 +343,11 @@ def test_passages(spark, docs, empty):
     assert {r["doc_id"] for r in chaining.repeated_passages(docs).collect()} >= {61}
 
 
-@pytest.mark.parametrize("pairs", [1024, 1])
-def test_passages_of_pieces_that_smaller_ids_hold(spark, monkeypatch, pairs):
-    monkeypatch.setattr(chaining, "PAIRS", pairs)
+@pytest.mark.parametrize("hot", [16, 1])
+def test_passages_of_pieces_that_smaller_ids_hold(spark, monkeypatch, hot):
+    monkeypatch.setattr(chaining, "HOT", hot)  # with 1, each key that a sampled text has is hot
+    monkeypatch.setattr(chaining, "SAMPLED", 2)
+    monkeypatch.setattr(chaining, "PAIRS", 3)
     rng = random.Random(12)
     rows, want = [], set()
     for g in range(0, 60, 6):
@@ -300,6 +360,14 @@ def test_passages_of_pieces_that_smaller_ids_hold(spark, monkeypatch, pairs):
     assert all(r["n_words"] >= 60 for r in got)
 
 
+def test_passage_whose_ends_smaller_ids_hold(spark):
+    rng = random.Random(13)
+    p = prose(rng, 60).split()
+    texts = [p[:36], p[24:], p, p]
+    got = chaining.repeated_passages(spark.createDataFrame([(i + 1, " ".join([prose(rng, 40), *t, prose(rng, 40)])) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == {(4, 3)} and got[0]["n_words"] >= 60
+
+
 def test_secrets(spark, docs, empty):
     rng = random.Random(4)
     key = lambda n, a="0123456789abcdef": "".join(rng.choice(a) for _ in range(n))
