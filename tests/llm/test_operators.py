@@ -325,7 +325,7 @@ def test_fuzzy_recall():
             q[changed] = words(len(changed))
             a, b = (np.concatenate([words(80), x, words(60)]) for x in (p, q))
             keys = [set(chaining.strobes(x, np.array([0, len(x)]), 4, 6, 14, 28)[1].tolist()) for x in (a, b)]
-            found += bool(keys[0] & keys[1]) and any(e - s >= 0.9 * n for s, e, *_ in chaining.passages(a, b, 4, 6, 40, 0.75))
+            found += bool(keys[0] & keys[1]) and any(e - s >= 0.9 * n for s, e, *_ in chaining.passages(a, b, 4, 6, 18, 40, 0.75))
         assert found >= least_share * 100, (n, rate, found)
 
 
