@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytic, records, tabular
+from .plans import analytic, genomic, records, statistical, tabular
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return tabular.QUERIES | analytic.QUERIES | records.QUERIES
+    return tabular.QUERIES | analytic.QUERIES | records.QUERIES | genomic.QUERIES | statistical.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return tabular.SQL | analytic.SQL | records.SQL
+    return tabular.SQL | analytic.SQL | records.SQL | genomic.SQL | statistical.SQL

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import vectors
+
 
 def positions(updates: DataFrame) -> DataFrame:
     """Updates (client, vector, n) as (client, n, pos, w)."""
@@ -33,3 +35,18 @@ def bundle(updates: DataFrame, how: str = "l2") -> DataFrame:
         return sums.select("pos", F.when(length > 0, F.col("s") / length).otherwise(F.col("s")).alias("value"))
     value = {"sign": F.when(F.col("s") >= 0, 1).otherwise(-1), "signum": F.signum("s").cast("int"), "xor": (F.col("p") % 2 * 2 - 1).cast("int")}[how]
     return sums.select("pos", value.alias("value"))
+
+
+def clipped(updates: DataFrame, length: float) -> DataFrame:
+    """updates with each vector scaled down to length at most."""
+    own = vectors.norm(F.col("vector"))
+    factor = F.least(F.lit(1.0), length / F.nullif(own, F.lit(0.0)))
+    return updates.withColumn("_factor", F.coalesce(factor, F.lit(1.0))).withColumn("vector", F.transform("vector", lambda x: x.cast("double") * F.col("_factor"))).drop("_factor")
+
+
+def reputation(updates: DataFrame, start: float = 1.0, near: float = 2.0) -> DataFrame:
+    """(client, reputation): start + 0.01, 1 at most, for an update nearer than near to the mean of all; else start - 0.05, 0 at least."""
+    cells = positions(updates)
+    mean = cells.groupBy("pos").agg(F.avg("w").alias("m"))
+    far = cells.join(F.broadcast(mean), "pos").groupBy("client").agg(F.sqrt(F.sum((F.col("w") - F.col("m")) ** 2)).alias("d"))  # a row for each position
+    return far.select("client", F.when(F.col("d") < near, F.lit(min(1.0, round(start + 0.01, 9)))).otherwise(F.lit(max(0.0, round(start - 0.05, 9)))).alias("reputation"))

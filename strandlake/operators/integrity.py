@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ledger, last = None, ""
+    for batch in batches:
+        hashes = []
+        for of, payload in zip(batch["ledger"], batch["payload"], strict=True):
+            if of != ledger:
+                ledger, last = of, "GENESIS"
+            last = hashlib.sha256(f"{last}|{payload}".encode()).hexdigest()
+            hashes.append(last)
+        yield batch[["ledger", "idx"]].assign(hash=hashes)
+
+
 def chained(entries: DataFrame) -> DataFrame:
-    """Entries (ledger, idx, payload) with hash: each over the hash before it, GENESIS first. A ledger is folded in its order, alone."""
-    folded = entries.groupBy("ledger").agg(F.sort_array(F.collect_list(F.struct("idx", "payload"))).alias("e"))
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["idx"].alias("idx"), F.sha2(F.concat_ws("|", F.when(F.size(acc) == 0, F.lit("GENESIS")).otherwise(F.get(acc, F.size(acc) - 1)["hash"]), x["payload"]), 256).alias("hash"))))
-    start = F.array().cast(f"array<struct<idx:{entries.schema['idx'].dataType.simpleString()},hash:string>>")
-    return folded.select("ledger", F.inline(F.aggregate("e", start, step)))
+    """Entries (ledger, idx, payload) with hash: each over the hash before it, GENESIS first.
+
+    A chain is sequential by nature: a ledger is folded by one task, batch after batch in its order, and only the last
+    hash is held. A null ledger is a ledger; a null payload counts as None.
+    """
+    kinds = {x.name: x.dataType.simpleString() for x in entries.schema}
+    ordered = entries.select("ledger", "idx", "payload").repartition("ledger").sortWithinPartitions("ledger", "idx")
+    return ordered.mapInPandas(_folded, f"ledger {kinds['ledger']}, idx {kinds['idx']}, hash string")
 
 
 def verified(chain: DataFrame) -> DataFrame:
@@ -23,6 +42,34 @@ def verified(chain: DataFrame) -> DataFrame:
     return chain.select("ledger", ok.alias("ok")).groupBy("ledger").agg(F.count("*").alias("entries"), F.count_if(~F.col("ok")).alias("broken"))
 
 
+def _framed(*parts) -> F.Column:
+    """SHA-256 of parts, each after its length in four bytes, big end first."""
+    return F.sha2(F.concat(*(F.concat(F.unhex(F.lpad(F.hex(F.octet_length(x).cast("long")), 8, "0")), x) for x in parts)), 256)
+
+
+def merkle_levels(leaves: DataFrame, tag: str = "NODE") -> list[DataFrame]:
+    """The levels (idx, hash) of a hash tree over leaves (idx from 0, hash as hex), leaves first; an odd last node is hashed with itself."""
+    level, n, out = leaves.select("idx", "hash"), leaves.count(), []
+    out.append(level)
+    while n > 1:
+        pairs = level.groupBy(F.expr("idx div 2").alias("p")).agg(F.min_by("hash", "idx").alias("a"), F.max_by("hash", "idx").alias("b"))
+        level = pairs.select(F.col("p").alias("idx"), _framed(F.lit(tag).cast("binary"), F.unhex("a"), F.unhex("b")).alias("hash"))
+        out.append(level)
+        n = -(-n // 2)
+    return out
+
+
+def merkle_path(leaves: DataFrame, idx: int) -> DataFrame:
+    """(level, idx, hash): the sibling on each level of the path from a leaf to the root; an odd last node is its own."""
+    levels, found = merkle_levels(leaves)[:-1], None
+    for k, level in enumerate(levels):
+        at = idx >> k
+        own = level.where(F.col("idx").isin(at, at ^ 1)).agg(F.max_by("hash", F.col("idx") == (at ^ 1)).alias("hash"))
+        one = own.select(F.lit(k).alias("level"), F.lit(at ^ 1).cast("long").alias("idx"), "hash")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def merkle_root(leaves: DataFrame) -> DataFrame:
     """(root, levels) over leaves (idx from 0, hash): pairs are hashed together, an odd last one with itself, level by level."""
     level, n, levels = leaves.select("idx", "hash"), leaves.count(), 0
