@@ -384,12 +384,26 @@ def test_secrets(spark, docs, empty):
     assert grammars.secret_spans(docs).count() == len(corpus())
 
 
-def test_automata_tell_formats_apart():
+def test_secrets_fold_ascii_letters_only(spark):
+    texts = ["to\u212aen = abcdefghijklmnop", "pa\u017f\u017fword = abcdefghijklmnop password=x", "TOKEN = abcdefghijklmnop", "to\u212aen = abcdefghijklmnop token"]
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in grammars.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: [], 1: [], 2: [("assign", 0, 24)], 3: []}
+
+
+def test_formats_find_unseen_credentials_and_nothing_else():
+    """Held-out precision and recall: random tokens of two formats against words, dates, addresses, paths and URLs."""
     rng = random.Random(8)
-    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(150)]
-    plain = ["".join(rng.choice(["an", "th", "re", "on", "ed"]) for _ in range(8)) for _ in range(150)]
-    formats = grammars.Formats({"hex": hexes[:100]}, plain[:100])
-    assert sum(formats.likely(x, 0.1) for x in hexes[100:]) >= 45 and not any(formats.likely(x, 0.1) for x in plain[100:])
+    pick = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    keys = [pick(32, upper + upper.lower() + digits) for _ in range(400)]
+    access = ["AKIA" + pick(16, upper + digits) for _ in range(400)]
+    word = lambda: "".join(rng.choice(["an", "th", "re", "on", "ed"]) for _ in range(rng.randint(6, 9)))
+    plain = [rng.choice([word(), f"{pick(3, digits)}.{pick(2, digits)}.{pick(3, digits)}.{pick(2, digits)}", f"20{pick(2, digits)}-{pick(2, digits)}-{pick(2, digits)}T10", f"www.{word()}.com/{word()}", f"/usr/{word()}/{word()}.txt", pick(12, digits)]) for _ in range(4000)]
+    formats = grammars.Formats({"assign": keys[:300], "access": access[:300]}, plain[:3000])
+    assert sum(map(formats.likely, keys[300:] + access[300:])) >= 190
+    assert sum(map(formats.likely, plain[3000:])) <= 5
+    assert len(formats.kinds["access"][0].next) >= 20  # a state for each place of a format of one length
+    assert not any(map(formats.likely, ("192.168.100.201", "2024-01-30T10", "https.www.example.com")))
 
 
 def test_mixing(spark, docs, empty):
