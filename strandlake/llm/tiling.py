@@ -7,7 +7,7 @@ windows, down to seed words. What counts is the share of the item's words that e
 whatever order its parts stand in the document.
 
 Items are joined to documents in blocks: a block's seeds are broadcast, and a block holds at most
-BLOCK_WORDS words however large the benchmark is. Documents aren't shuffled.
+about BLOCK_WORDS words however large the benchmark is. Documents aren't shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import kept
 from .words import _BASE, _BYTE_LOWER, _power, byte_chunks, chained, mix
 
 #: Words of a block of items, all of it known to the tasks at once.
@@ -86,20 +87,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage
 
     tiles are structs (item_start, doc_start, words). Items of fewer words than seed match as a whole; items
     without words, null texts and null items match nothing. Repeated rows give a result each, equal items too.
-    An empty benchmark gives no rows.
+    An empty benchmark gives no rows, nor does an empty table. Texts are tiled whole, however long; of matches of one
+    length the first in the item, then in the document is marked.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     kinds = [x.schema[0].dataType.simpleString() for x in (rows, items)]
     schema = f"id {kinds[0]}, item {kinds[1]}, coverage double, marked int, item_words int, tiles array<struct<item_start:int,doc_start:int,words:int>>"
-    sized = items.withColumn("block", F.floor(F.coalesce(F.sum(F.octet_length("text") / 2 + 1).over(_running()), F.lit(0)) / BLOCK_WORDS))
+    words = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0]  # at most
+    blocks = 0 if words is None else max(1, -(-int(words) * 4 // (3 * BLOCK_WORDS)))
+    sized = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(1, blocks))))
     out = None
-    blocks = [x[0] for x in sized.select("block").distinct().orderBy("block").collect()]
-    for block in blocks:
+    for block in range(blocks):
         part = sized.where(F.col("block") == block).select("item", "text").toArrow()
         given = spark.sparkContext.broadcast(_seeded(part, seed))
         found = rows.mapInArrow(lambda b, given=given: _tiled(b, given.value, seed, coverage, schema_names), schema)
+        if blocks > 1:  # no more than one block is held at a time
+            found = kept(found)
+            given.destroy()
         out = found if out is None else out.unionByName(found)
     out = spark.createDataFrame([], schema) if out is None else out
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
@@ -109,12 +115,6 @@ schema_names = ["id", "item", "coverage", "marked", "item_words", "tiles"]
 _TILE = pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("words", pa.int32())]))
 
 
-def _running():
-    from pyspark.sql import Window
-
-    return Window.orderBy("item", "text").rowsBetween(Window.unboundedPreceding, -1)
-
-
 def _seeded(part: pa.Table, seed: int):
     """Of a block of items: ids, words, and sorted (seed hash, item place). An item shorter than seed has one seed of all its words."""
     words: list[np.ndarray] = []

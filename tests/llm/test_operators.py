@@ -90,7 +90,7 @@ def test_token_counts(docs, empty):
         text = next(x[1] for x in corpus() if x[0] == r["doc_id"]) or ""
         assert (r["n_tokens"], r["n_bytes"]) == (len(library.encode(text, add_special_tokens=False)), len(text.encode()))
     assert token_counts(empty).count() == 0
-    for text in ("a  b <|endoftext|> c", " lead", "trail ", "a \n b", "it's  1,000 x<|endoftext|>", "　 wide 　x", "a\x1c b"):
+    for text in ("a  b <|endoftext|> c", " lead", "trail ", "a \n b", "it's  1,000 x<|endoftext|>", "　 wide 　x", "a\x1c b", "a\nb\tc\n\nd \te", "文字。文字，abc。3。 x！’s", "it'\ns l'a", "x'\ts don't"):
         assert sum(len(library.encode(p, add_special_tokens=False)) for p in parts_of(text)) == len(library.encode(text, add_special_tokens=False))
 
 
@@ -421,6 +421,23 @@ def test_mixing(spark, docs, empty):
     assert order.count() == passes and order.columns == docs.columns
 
 
+def test_curriculum_keeps_columns_of_any_name(spark):
+    rows = [(i, f"w{i} x y", "s", i * 10, i + 1, i + 2, i + 3, i + 4, i + 5) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key long, row long, at long, pass long, n long, `a.b` long")
+    out = curriculum(docs)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in rows} and out.count() >= 30
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [prose(rng, 20) for _ in range(40)]
+    docs = spark.createDataFrame([(i, f"{prose(rng, 10)} {t} {prose(rng, 10)}") for i, t in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = sorted((r["doc_id"], r["item_id"]) for r in tiling.decontaminate(docs, bench).collect())
+    monkeypatch.setattr(tiling, "BLOCK_WORDS", 700)
+    assert sorted((r["doc_id"], r["item_id"]) for r in tiling.decontaminate(docs, bench).collect()) == whole == [(i, i) for i in range(40)]
+
+
 def test_targets(spark):
     got = {r["source"]: r["target"] for r in source_targets(spark.createDataFrame([("a", 10), ("b", 1000), (None, 90)], "source string, source_size long")).collect()}
     # a is full at 20; of the other 1630, b has 2 parts and the null source 1, which is full at 180
