@@ -130,6 +130,72 @@ def test_suffix_tree(docs, empty):
     assert suffix_tree.suffix_tree_scores(empty).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [131_072, 40])
+def test_suffix_tree_equals_brute_force(spark, monkeypatch, frequent):
+    """Scores against a suffix tree built symbol by symbol: contexts by share, and words below the share by a constant count."""
+    monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)
+    monkeypatch.setattr(suffix_tree, "LEAST", 4)
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(80):
+        w = [vocabulary[0]]
+        for _ in range(rng.randint(5, 60)):
+            follow = (vocabulary.index(w[-1]) * 7 + vocabulary.index(w[-2 if len(w) > 1 else -1]) * 5 + vocabulary.index(w[-3 if len(w) > 2 else -1]) + 3) % 5
+            w.append(vocabulary[follow] if rng.random() < 0.6 else vocabulary[min(119, int(rng.paretovariate(0.6)))])
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    p_context, p_next, divergence, depth = 0.01, 0.002, 0.05, 4
+    streams = [[*t.split(), None] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = collections.Counter(w for x in streams for w in x)
+    n, v = sum(count.values()), len(count)
+    joint = collections.defaultdict(collections.Counter)
+    for x in streams:
+        for i in range(len(x)):
+            for d in range(1, depth + 1):
+                if i - d >= 0:
+                    joint[tuple(x[i - d : i])][x[i]] += 1
+    least, least_next = (max(2, math.ceil(p * n)) for p in (p_context, p_next))
+    states = {}
+    root = lambda w: (count[w] + 1) / (n + v + 1)
+
+    def prob(w, before):
+        p = root(w)
+        for d in range(1, depth + 1):
+            s = tuple(before[len(before) - d :]) if len(before) >= d else None
+            if s in states:
+                total, own = states[s]
+                p = (own.get(w, 0) + (total - sum(own.values()) + suffix_tree.BACK) * p) / (total + suffix_tree.BACK)
+        return p
+
+    candidates = {(w,) for w in count if w is not None and count[w] >= least}
+    for _ in range(depth):
+        new, longer = {}, set()
+        for s in candidates:
+            total = sum(joint[s].values())
+            own = {w: c for w, c in joint[s].items() if c >= least_next}
+            here = {w: c / total for w, c in own.items()}
+            back = {w: prob(w, s[1:]) for w in own}
+            rest, below = max(0, 1 - sum(here.values())), max(1e-12, 1 - sum(back.values()))
+            kl = sum(p * math.log10(p / back[w]) for w, p in here.items()) + (rest * math.log10(max(rest, 1e-12) / below) if rest > 0 else 0)
+            if own and kl >= divergence:
+                new[s] = (total, own)
+            longer |= {(*s, w) for w, c in own.items() if c >= least and w is not None}
+        states |= new
+        candidates = longer
+    for w in count:
+        total = sum(joint[(w,)].values())
+        if w is not None and count[w] < least and total >= 4:
+            own = {x: c for x, c in joint[(w,)].items() if c >= suffix_tree.NEXT}
+            kl = sum(c / total * math.log10(c / total / root(x)) for x, c in joint[(w,)].items())
+            if own and kl >= divergence:
+                states[(w,)] = (total, own)
+    assert {len(s) for s in states} >= {1, 2, 3} and sum(len(s) == 1 and count[s[0]] < least for s in states) > 5
+    for r in suffix_tree.suffix_tree_scores(docs, depth=depth, p_context=p_context, p_next=p_next, divergence=divergence).collect():
+        x = [*texts[r["doc_id"]].split(), None]
+        assert math.isclose(r["score"], sum(math.log10(prob(x[i], x[:i])) for i in range(len(x))), rel_tol=1e-6), r
+
+
 def test_states_sum_to_one(docs):
     tree, _ = suffix_tree.learn(docs.select("text"), p_context=1e-3, p_next=5e-4)
     level = tree.levels[0]
