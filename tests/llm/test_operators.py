@@ -134,7 +134,6 @@ def test_suffix_tree(docs, empty):
 def test_suffix_tree_equals_brute_force(spark, monkeypatch, frequent):
     """Scores against a suffix tree built symbol by symbol: contexts by share, and words below the share by a constant count."""
     monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)
-    monkeypatch.setattr(suffix_tree, "LEAST", 4)
     rng = random.Random(31)
     vocabulary = [f"w{i}" for i in range(120)]
     texts = []
@@ -191,7 +190,7 @@ def test_suffix_tree_equals_brute_force(spark, monkeypatch, frequent):
             if own and kl >= divergence:
                 states[(w,)] = (total, own)
     assert {len(s) for s in states} >= {1, 2, 3} and sum(len(s) == 1 and count[s[0]] < least for s in states) > 5
-    for r in suffix_tree.suffix_tree_scores(docs, depth=depth, p_context=p_context, p_next=p_next, divergence=divergence).collect():
+    for r in suffix_tree.suffix_tree_scores(docs, depth=depth, p_context=p_context, p_next=p_next, divergence=divergence, rare_least=4).collect():
         x = [*texts[r["doc_id"]].split(), None]
         assert math.isclose(r["score"], sum(math.log10(prob(x[i], x[:i])) for i in range(len(x))), rel_tol=1e-6), r
 
