@@ -57,14 +57,6 @@ def visited(query: np.ndarray, books: tuple[np.ndarray, np.ndarray], sizes: np.n
     return out
 
 
-def exact(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, added from the first component to the last, so equal rows score equally."""
-    out = np.zeros(len(rows))
-    for d in range(rows.shape[1]):
-        out += rows[:, d] * query[d]
-    return out
-
-
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of vectors that have an id and only finite components, one of them not zero."""
     v = F.col("v")
@@ -77,7 +69,8 @@ def nearest(vectors: DataFrame, queries_every: int = 20, k: int = 20, id_col: st
 
     Queries are the rows whose id is divisible by queries_every, candidates all rows but those of the query's
     own id; ties go to the smaller id. Vectors that are null, zero or have a null or non-finite component take
-    no part, nor rows with a null id; vectors of another length than most take no part either. visit is the
+    no part, nor rows with a null id; vectors of another length than most take no part either. Rows that repeat an id are
+    entries each, and other columns aren't read, whatever their names; an empty table gives no rows. visit is the
     share of all different vectors in the cells that a query visits at least: 1 makes the search exact.
     """
     spark = vectors.sparkSession
@@ -146,21 +139,30 @@ def nearest(vectors: DataFrame, queries_every: int = 20, k: int = 20, id_col: st
         if not len(entry) or not len(question):
             return none
         x = np.stack(entry["v"].to_numpy()).astype(float)
-        ids, cell = entry["id"].to_numpy(), entry["cell"].to_numpy()
+        ids = entry["id"].to_numpy()
+        here, cell = np.unique(entry["cell"].to_numpy(), return_inverse=True)
         out = []
         for start in range(0, len(question), 256):
             part = question.iloc[start : start + 256]
-            rough = np.stack(part["v"].to_numpy()).astype(float) @ x.T
-            for row, query, v, met in zip(rough, part["id"], part["v"], part["cells"], strict=True):
-                ok = np.flatnonzero(np.isin(cell, met) & (ids != query))
-                if not len(ok):
-                    continue
-                score = row[ok]
-                least = np.partition(score, len(ok) - k)[len(ok) - k] if len(ok) > k else score.min()
-                ok = ok[score >= least - 1e-9 * max(1.0, abs(least))]
-                true = exact(x[ok], np.asarray(v, float))
-                best = np.lexsort((ids[ok], -true))[:k]
-                out.append(pd.DataFrame({"query_id": query, "vec": ids[ok][best], "score": true[best]}))
+            asked, v = part["id"].to_numpy(), np.stack(part["v"].to_numpy()).astype(float)
+            met = np.zeros((len(part), len(here)), bool)
+            cells_of = np.concatenate(part["cells"].to_numpy())
+            rows = np.repeat(np.arange(len(part)), part["cells"].map(len).to_numpy())
+            place = np.minimum(np.searchsorted(here, cells_of), len(here) - 1)
+            ok = here[place] == cells_of
+            met[rows[ok], place[ok]] = True
+            rough = np.where(met[:, cell] & (ids != asked[:, None]), v @ x.T, -np.inf)
+            # those that may be among the k best, whatever the last digits; their exact scores decide
+            least = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(part), -np.inf)
+            least = np.where(np.isfinite(least), least - 1e-9 * np.maximum(1.0, np.abs(least)), -np.finfo(float).max)
+            q, e = np.nonzero(rough >= least[:, None])
+            true = np.zeros(len(q))
+            for d in range(width):  # from the first component to the last, so that equal rows score equally
+                true += x[e, d] * v[q, d]
+            order = np.lexsort((ids[e], -true, q))
+            q, e, true = q[order], e[order], true[order]
+            top = np.arange(len(q)) - np.searchsorted(q, q) < k
+            out.append(pd.DataFrame({"query_id": asked[q[top]], "vec": ids[e[top]], "score": true[top]}))
         return pd.concat(out) if out else none
 
     found = entries.groupBy("g", "b", "p").cogroup(questions.groupBy("g", "b", "p")).applyInPandas(rank, "query_id long, vec long, score double")

@@ -130,6 +130,24 @@ def test_suffix_tree(docs, empty):
     assert suffix_tree.suffix_tree_scores(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [600, 2400])
+def test_nearest_recall(spark, n):
+    """Against brute force, on vectors without any structure, which an index can't prune much."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in r], i, i, "x") for i, r in enumerate(x)], "vec_id long, embedding array<float>, id long, cell int, v string")
+    got = collections.defaultdict(set)
+    for r in nearest(df).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in range(0, n, 20):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.9 * 20 * len(range(0, n, 20))
+
+
 @pytest.mark.parametrize("frequent", [131_072, 40])
 def test_suffix_tree_equals_brute_force(spark, monkeypatch, frequent):
     """Scores against a suffix tree built symbol by symbol: contexts by share, and words below the share by a constant count."""
