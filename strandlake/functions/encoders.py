@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def unbound(a: Column, b: Column) -> Column:
@@ -31,7 +32,7 @@ def position_vector(place: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i % 2 == 0, F.sin(angle(i))).otherwise(F.cos(angle(i))))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def circular_fft(a: pd.Series, b: pd.Series) -> pd.Series:
     """Circular convolution of pairs of vectors, by FFT; null where either is null or their sizes differ."""
     return pd.Series([None if x is None or y is None or len(x) != len(y) else np.fft.irfft(np.fft.rfft(np.asarray(x, float)) * np.fft.rfft(np.asarray(y, float)), len(x)) for x, y in zip(a, b, strict=True)])
