@@ -87,7 +87,7 @@ def covariate_drift(spark, sf):
 def against_first(spark, sf, distance):
     """(vec_id, distance) of the ten rows nearest to the row of id 0; that one row is what is broadcast."""
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    one = rows.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    one = rows.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
     return rows.join(F.broadcast(one)).select("vec_id", F.round(distance(F.col("embedding"), F.col("q")), 5).alias("distance")).orderBy("distance", "vec_id").limit(10)
 
 
