@@ -149,7 +149,7 @@ def test_nearest_recall(spark, n):
 
 @pytest.mark.parametrize("frequent", [131_072, 40])
 def test_suffix_tree_equals_brute_force(spark, monkeypatch, frequent):
-    """Scores against a suffix tree built symbol by symbol: contexts by share, and words below the share by a constant count."""
+    """Scores against a suffix tree built symbol by symbol: contexts by share, and those of two words below the share by a constant count."""
     monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)
     rng = random.Random(31)
     vocabulary = [f"w{i}" for i in range(120)]
@@ -161,7 +161,7 @@ def test_suffix_tree_equals_brute_force(spark, monkeypatch, frequent):
             w.append(vocabulary[follow] if rng.random() < 0.6 else vocabulary[min(119, int(rng.paretovariate(0.6)))])
         texts.append(" ".join(w))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    p_context, p_next, divergence, depth = 0.01, 0.002, 0.05, 4
+    p_context, p_next, divergence, depth = 0.01, 0.002, 0.02, 4
     streams = [[*t.split(), None] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
     count = collections.Counter(w for x in streams for w in x)
     n, v = sum(count.values()), len(count)
@@ -184,7 +184,7 @@ def test_suffix_tree_equals_brute_force(spark, monkeypatch, frequent):
                 p = (own.get(w, 0) + (total - sum(own.values()) + suffix_tree.BACK) * p) / (total + suffix_tree.BACK)
         return p
 
-    candidates = {(w,) for w in count if w is not None and count[w] >= least}
+    candidates, at_two = {(w,) for w in count if w is not None and count[w] >= least}, set()
     for _ in range(depth):
         new, longer = {}, set()
         for s in candidates:
@@ -198,20 +198,43 @@ def test_suffix_tree_equals_brute_force(spark, monkeypatch, frequent):
                 new[s] = (total, own)
             longer |= {(*s, w) for w, c in own.items() if c >= least and w is not None}
         states |= new
+        at_two = longer if len(next(iter(candidates), "")) == 1 else at_two
         candidates = longer
-    for w in count:
-        total = sum(joint[(w,)].values())
-        if w is not None and count[w] < least and total >= 4:
-            own = {x: c for x, c in joint[(w,)].items() if c >= suffix_tree.NEXT}
-            kl = sum(c / total * math.log10(c / total / root(x)) for x, c in joint[(w,)].items())
+    top = set(sorted(count, key=lambda w: (-count[w], w is None))[:frequent])
+    tabled = {}
+    for s in joint:
+        if len(s) == 2 and s not in at_two:
+            total = sum(joint[s].values())
+            own = {x: c for x, c in joint[s].items() if c >= suffix_tree.LEAST and x in top}
+            back = sum(prob(x, s[1:]) for x in own)
+            rest = 1 - sum(own.values()) / total
+            kl = sum(c / total * math.log10(c / total / prob(x, s[1:])) for x, c in own.items()) + (rest * math.log10(rest / (1 - back)) if rest > 1e-12 else 0)
             if own and kl >= divergence:
-                states[(w,)] = (total, own)
-    assert {len(s) for s in states} >= {1, 2, 3} and sum(len(s) == 1 and count[s[0]] < least for s in states) > 5
-    for r in suffix_tree.suffix_tree_scores(docs, depth=depth, p_context=p_context, p_next=p_next, divergence=divergence, rare_least=4).collect():
+                tabled[s] = (total, own)
+    states |= tabled
+    assert {len(s) for s in states} >= {1, 2, 3} and len(tabled) > 20
+    for r in suffix_tree.suffix_tree_scores(docs, depth=depth, p_context=p_context, p_next=p_next, divergence=divergence).collect():
         x = [*texts[r["doc_id"]].split(), None]
         assert math.isclose(r["score"], sum(math.log10(prob(x[i], x[:i])) for i in range(len(x))), rel_tol=1e-6), r
 
 
+def test_suffix_tree_tables_grow_and_tell_copies(spark):
+    """Texts of random words: those that occur twice are likelier than those that occur once, and the tables follow the input."""
+    rng = random.Random(3)
+    found = []
+    for n in (200, 800):
+        texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 5000}" for _ in range(40)) for _ in range(n)]
+        texts += texts[: n // 4]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        tree, _ = suffix_tree.learn(docs.select("text"), p_context=0.01, p_next=0.01)
+        table = suffix_tree.tables(docs.select("text"), spark.sparkContext.broadcast(tree), tree.n)[0]
+        found.append(sum(len(r["parts"][0]) // 8 for r in table.collect()))
+        gain = {r["doc_id"]: (r["score"] - r["base_score"]) / r["n_tokens"] for r in suffix_tree.suffix_tree_scores(docs, p_context=0.01, p_next=0.01).collect()}
+        twice, once = ([gain[i] for i in ids] for ids in (range(n // 4), range(n // 4, n)))
+        assert sum(x > max(once) for x in twice) > 0.6 * len(twice)
+    assert found[1] > 3 * found[0]
+
+
 def test_states_sum_to_one(docs):
     tree, _ = suffix_tree.learn(docs.select("text"), p_context=1e-3, p_next=5e-4)
     level = tree.levels[0]
