@@ -12,6 +12,7 @@ from .grammars import KINDS, secret_spans
 from .jaccard import jaccard_components
 from .mixing import mix_sources
 from .multi_index import nearest
+from .repair import repaired_after_damage
 from .sharding import pack_shards
 from .suffix_tree import suffix_tree_scores
 from .tiling import decontaminate
@@ -77,6 +78,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 6).alias("first_position"), F.size("positions").alias("passes"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_after_damage(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_shards, op2_token_counts, op3_nearest, op4_suffix_tree, op5_decontamination, op6_jaccard, op7_toxicity, op8_passages, op9_secrets, op10_mixing, pipeline]
+    own = [op1_shards, op2_token_counts, op3_nearest, op4_suffix_tree, op5_decontamination, op6_jaccard, op7_toxicity, op8_passages, op9_secrets, op10_mixing, op13_repair, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -128,5 +133,52 @@ FROM r
 """
 
 
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS b, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8
+), fates AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')), ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS fate
+  FROM conversations, crc
+), rows0 AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM fates WHERE fate <> 0
+), rows1 AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM rows0)
+), flags AS (
+  SELECT *, left(role, 1) AS r, CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM rows1
+), edits AS (
+  SELECT conv_id, i, fault IN ('blank', 'duplicate') AS bad, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more, r, role, text FROM flags
+), dp AS (
+  SELECT conv_id, 0::BIGINT AS i, {'c': 0, 'a': '', 't': []::VARCHAR[]} AS z, {'c': 999999, 'a': '', 't': []::VARCHAR[]} AS s, {'c': 999999, 'a': '', 't': []::VARCHAR[]} AS u, {'c': 999999, 'a': '', 't': []::VARCHAR[]} AS e
+  FROM (SELECT DISTINCT conv_id FROM edits)
+  UNION ALL
+  SELECT d.conv_id, d.i + 1,
+    {'c': z.c + 2, 'a': z.a || 'D', 't': z.t},
+    list_sort([{'c': s.c + 2, 'a': s.a || 'D', 't': s.t}, CASE WHEN r = 's' AND NOT bad THEN {'c': z.c + more, 'a': z.a || 'K', 't': list_append(z.t, role || ':' || text)} ELSE {'c': 999999, 'a': '', 't': []::VARCHAR[]} END])[1],
+    list_sort(list_concat([{'c': u.c + 2, 'a': u.a || 'D', 't': u.t}], CASE WHEN bad THEN [] ELSE list_transform(
+      [z, s, e, {'c': u.c + 5, 'a': u.a || 'I', 't': list_append(u.t, 'assistant:')}], lambda p: {'c': p.c + more + (r <> 'u')::INT, 'a': p.a || CASE WHEN r = 'u' THEN 'K' ELSE 'R' END, 't': list_append(p.t, CASE WHEN r = 'u' THEN role ELSE 'user' END || ':' || text)}) END))[1],
+    list_sort(list_concat([{'c': e.c + 2, 'a': e.a || 'D', 't': e.t}], CASE WHEN bad THEN [] ELSE list_transform(
+      list_concat([u], list_transform([z, s, e], lambda p: {'c': p.c + 5, 'a': p.a || 'I', 't': list_append(p.t, 'user:')})), lambda p: {'c': p.c + more + (r <> 'a')::INT, 'a': p.a || CASE WHEN r = 'a' THEN 'K' ELSE 'R' END, 't': list_append(p.t, CASE WHEN r = 'a' THEN role ELSE 'assistant' END || ':' || text)}) END))[1]
+  FROM dp d JOIN edits x ON x.conv_id IS NOT DISTINCT FROM d.conv_id AND x.i = d.i + 1
+), best AS (
+  SELECT conv_id, list_sort([z, e, {'c': u.c + 5, 'a': u.a || 'I', 't': list_append(u.t, 'assistant:')}, {'c': s.c + 10, 'a': s.a || 'II', 't': list_concat(s.t, ['user:', 'assistant:'])}])[1] AS b
+  FROM dp JOIN (SELECT conv_id AS k, max(i) AS n FROM edits GROUP BY ALL) ON k IS NOT DISTINCT FROM conv_id AND n = i
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM flags GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard": OP6_SQL, "op10_mixing": OP10_SQL}
+    return {"op6_jaccard": OP6_SQL, "op10_mixing": OP10_SQL, "op13_repair": OP13_SQL}
