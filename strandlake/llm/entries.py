@@ -12,6 +12,7 @@ from .grammars import KINDS, secret_spans
 from .jaccard import jaccard_components
 from .mixing import mix_sources
 from .multi_index import nearest
+from .ranked import ranked_search
 from .repair import repaired_after_damage
 from .sharding import pack_shards
 from .suffix_tree import suffix_tree_scores
@@ -78,6 +79,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 6).alias("first_position"), F.size("positions").alias("passes"))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_after_damage(table(spark, sf_dir, "conversations"))
 
@@ -89,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_shards, op2_token_counts, op3_nearest, op4_suffix_tree, op5_decontamination, op6_jaccard, op7_toxicity, op8_passages, op9_secrets, op10_mixing, op13_repair, pipeline]
+    own = [op1_shards, op2_token_counts, op3_nearest, op4_suffix_tree, op5_decontamination, op6_jaccard, op7_toxicity, op8_passages, op9_secrets, op10_mixing, op11_ranked, op13_repair, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -133,6 +139,26 @@ FROM r
 """
 
 
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL
+), n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id
+), whole AS (SELECT count(*) AS nn, sum(n)::BIGINT AS l FROM n
+), w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term, nn
+), items AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), asked AS (SELECT item_id, term, count(*) AS times FROM items GROUP BY ALL
+), scores AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // l))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN n USING (doc_id), whole GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
 OP13_SQL = r"""
 WITH RECURSIVE bits AS (
   SELECT i AS b, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
@@ -181,4 +207,4 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard": OP6_SQL, "op10_mixing": OP10_SQL, "op13_repair": OP13_SQL}
+    return {"op6_jaccard": OP6_SQL, "op10_mixing": OP10_SQL, "op11_ranked": OP11_SQL, "op13_repair": OP13_SQL}

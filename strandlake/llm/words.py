@@ -60,14 +60,17 @@ def byte_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         start = end
 
 
-def spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """bytes, start and end of each word in them, and the first word of each text (one more at the end)."""
+def spans(texts: pa.Array, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """bytes, start and end of each word in them, and the first word of each text (one more at the end).
+
+    between says of each byte whether it separates words.
+    """
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    inside = ~_SPACE[raw]
+    inside = ~between[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     before = np.zeros(len(raw), bool)
@@ -79,9 +82,9 @@ def spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return raw, starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def hashed(texts: pa.Array, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each lower-cased word, and the first word of each text (one more at the end)."""
-    raw, starts, ends, first = spans(texts)
+    raw, starts, ends, first = spans(texts, between)
     up, down = _power(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE_LOWER[raw] * up[: len(raw)], out=sums[1:])
