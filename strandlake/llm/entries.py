@@ -15,6 +15,7 @@ from .multi_index import nearest
 from .ranked import ranked_search
 from .repair import repaired_after_damage
 from .sharding import pack_shards
+from .site_templates import main_texts
 from .suffix_tree import suffix_tree_scores
 from .tiling import decontaminate
 from .token_counts import token_counts
@@ -84,6 +85,10 @@ def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_after_damage(table(spark, sf_dir, "conversations"))
 
@@ -95,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_shards, op2_token_counts, op3_nearest, op4_suffix_tree, op5_decontamination, op6_jaccard, op7_toxicity, op8_passages, op9_secrets, op10_mixing, op11_ranked, op13_repair, pipeline]
+    own = [op1_shards, op2_token_counts, op3_nearest, op4_suffix_tree, op5_decontamination, op6_jaccard, op7_toxicity, op8_passages, op9_secrets, op10_mixing, op11_ranked, op12_main_texts, op13_repair, pipeline]
     return {f.__name__: f for f in own}
 
 
