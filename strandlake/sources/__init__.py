@@ -1,6 +1,7 @@
 """Reading tables and text formats."""
 
+from .fhir import fhir_records, fhir_table
 from .tables import table
 from .text_formats import bed_positions, vcf_calls
 
-__all__ = ["bed_positions", "table", "vcf_calls"]
+__all__ = ["bed_positions", "fhir_records", "fhir_table", "table", "vcf_calls"]
