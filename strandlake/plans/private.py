@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import privacy
+from ..operators import privacy, redaction
 from ..sources import table
 
 QUERIES, SQL = {}, {}
@@ -203,3 +203,61 @@ def unpack_bits(spark, sf):
 
     bit = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.call_function("getbit", F.col("bits"), i).cast("int"))
     return pack_bits(spark, sf).select("vec_id", "lane", F.posexplode(bit).alias("bit", "value"))
+
+
+def _spans_sql(kinds: dict[str, str], source: str, flags: str = "") -> str:
+    """Each match's place from the pieces between matches, kind by kind."""
+    one = """SELECT *, {i} AS place, '{k}' AS kind, unnest(range(1, len(v) + 1)) AS j FROM (SELECT *, regexp_extract_all(t, '{f}{p}') AS v, string_split_regex(t, '{f}{p}') AS b FROM {s})"""
+    every = " UNION ALL ".join(one.format(i=i, k=k, p=_quoted(p), f=flags, s=source) for i, (k, p) in enumerate(kinds.items()))
+    return f"SELECT * EXCLUDE (v, b, j), v[j] AS value, (list_sum(list_transform(b[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:j - 1], lambda x: length(x))), 0))::INT AS start FROM ({every})"
+
+
+PII_SPANS = f"t AS (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL), m AS ({_spans_sql(redaction.PII, 't')}), spans AS (SELECT doc_id, t, kind, value, start, start + length(value)::INT AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY start, length(value) DESC, place) AS i FROM m)"
+
+#: One step a span: it stays unless it begins within the last that stayed.
+PII_FOLD = f"""{PII_SPANS}, fold AS (
+  SELECT doc_id, t, 0::BIGINT AS i, 0 AS pos, '' AS masked, '' AS tokens FROM (SELECT DISTINCT doc_id, t FROM spans)
+  UNION ALL
+  SELECT f.doc_id, f.t, s.i, CASE WHEN start >= pos THEN stop ELSE pos END, CASE WHEN start >= pos THEN masked || substr(f.t, pos + 1, start - pos) || '[' || upper(kind) || ']' ELSE masked END,
+    CASE WHEN start >= pos THEN tokens || substr(f.t, pos + 1, start - pos) || 'tok_' || substr(sha256(unhex('{bytes(x ^ 0x5C for x in b"testsecret".ljust(64, chr(0).encode())).hex()}') || unhex(sha256(unhex('{bytes(x ^ 0x36 for x in b"testsecret".ljust(64, chr(0).encode())).hex()}') || encode(kind || ':' || value)))), 1, 16) ELSE tokens END
+  FROM fold f JOIN spans s ON s.doc_id = f.doc_id AND s.i = f.i + 1
+), ended AS (SELECT doc_id, masked || substr(t, pos + 1) AS masked, tokens || substr(t, pos + 1) AS tokens FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1)"""
+
+
+@query(f"WITH {PII_SPANS} SELECT doc_id, kind, start, stop FROM spans")
+def pii_spans(spark, sf):
+    """Every span of every kind, overlapping ones too."""
+    found = table(spark, sf, "documents").select("doc_id", F.explode(redaction.pii_spans(F.col("text"))).alias("m"))
+    return found.select("doc_id", "m.kind", "m.start", F.col("m.end").alias("stop"))
+
+
+def _rewritten(spark, sf, put):
+    """Only texts that hold a span are rewritten."""
+    some = table(spark, sf, "documents").where(F.col("text").rlike("(?U)" + "|".join(redaction.PII.values())))
+    return some.select("doc_id", F.md5(put(F.col("text")).cast("binary")).alias("text_md5"))
+
+
+@query(f"WITH RECURSIVE {PII_FOLD} SELECT doc_id, md5(masked) AS text_md5 FROM ended")
+def pii_masked_text(spark, sf):
+    return _rewritten(spark, sf, redaction.pii_masked)
+
+
+@query(f"WITH RECURSIVE {PII_FOLD} SELECT doc_id, md5(tokens) AS text_md5 FROM ended")
+def pii_tokenized_text(spark, sf):
+    return _rewritten(spark, sf, lambda text: redaction.pii_tokenized(text, b"testsecret"))
+
+
+PHI_LINES = "l AS (SELECT doc_id, unnest(range(1, len(w) + 1))::INT AS line, unnest(w) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents))"
+#: The ten kinds, and two of one's own.
+OWN_KINDS = {"ip": (redaction.PII["ipv4"], "low"), "email": (redaction.PII["email"], "medium")}
+PHI_EVERY = redaction.PHI_KINDS | OWN_KINDS
+PHI_CONTEXT = " + ".join(f"regexp_matches(t, '(?i){p}')::INT" for p in redaction.CONTEXT.values())
+PHI_LEVEL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, (_, s) in PHI_EVERY.items()) + " END"
+
+
+@query(f"""WITH {PHI_LINES}, m AS ({_spans_sql({k: p for k, (p, _) in PHI_EVERY.items()}, 'l', '(?i)')}), g AS (SELECT *, {PHI_LEVEL} AS level, {PHI_CONTEXT} AS n FROM m WHERE kind <> 'gene_variant' OR length(value) <= 10)
+SELECT doc_id, line, start AS "column", kind, CASE WHEN n >= 2 AND level = 'low' THEN 'medium' WHEN n >= 2 AND level = 'medium' THEN 'high' ELSE level END AS severity, n AS indicators FROM g""")
+def phi_findings(spark, sf):
+    """All kinds, by line, with what the line's words make of them."""
+    found = redaction.phi_findings(table(spark, sf, "documents"), "doc_id", "text", OWN_KINDS)
+    return found.select("doc_id", "line", "column", "kind", "severity", F.size("indicators").alias("indicators"))
