@@ -50,3 +50,21 @@ def reputation(updates: DataFrame, start: float = 1.0, near: float = 2.0) -> Dat
     mean = cells.groupBy("pos").agg(F.avg("w").alias("m"))
     far = cells.join(F.broadcast(mean), "pos").groupBy("client").agg(F.sqrt(F.sum((F.col("w") - F.col("m")) ** 2)).alias("d"))  # a row for each position
     return far.select("client", F.when(F.col("d") < near, F.lit(min(1.0, round(start + 0.01, 9)))).otherwise(F.lit(max(0.0, round(start - 0.05, 9)))).alias("reputation"))
+
+
+def masked_sums(updates: DataFrame, bucket: int = 1000, seed: int = 31) -> DataFrame:
+    """(pos, value): the sum of each position, of updates (client, vector, n) that are masked before they are added up.
+
+    Clients stand in rings of about `bucket`, dealt by a hash. Each adds a mask that it shares with the next one of its ring and takes away
+    the one that it shares with the one before, so all masks of a ring cancel, whatever ids are missing; a client alone in its ring has
+    itself on both sides. Client ids are distinct.
+    """
+    rings = -(-max(updates.count(), 1) // bucket)
+    ring = W.partitionBy("ring").orderBy("client")
+    placed = updates.withColumn("ring", F.pmod(F.xxhash64("client"), F.lit(rings)))
+    whole = ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    placed = placed.withColumn("before", F.coalesce(F.lag("client").over(ring), F.last("client").over(whole)))
+    mask = lambda a: F.pmod(F.xxhash64(F.lit(seed), a, "pos"), F.lit(1000)) / 1000.0
+    cells = placed.select("client", "before", F.posexplode("vector").alias("pos", "w"))
+    hidden = F.col("w").cast("double") + mask(F.col("client")) - mask(F.col("before"))
+    return cells.select("pos", hidden.alias("m")).groupBy("pos").agg(F.sum("m").alias("value"))

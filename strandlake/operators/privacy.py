@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Kinds of health data, their patterns and severities.
+#: A smaller set of kinds of health data, with patterns and severities of this library's own; redaction.PHI_KINDS has the ten.
 PHI = {
     "ssn": (r"\b\d{3}-\d{2}-\d{4}\b", "critical"),
     "mrn": (r"\bMRN[:#]?\s?\d{6,10}\b", "high"),

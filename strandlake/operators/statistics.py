@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..streaming import limits
+
 
 def benjamini_hochberg(tests: DataFrame, family: list[str]) -> DataFrame:
     """tests (.., p) with fdr: p * m / rank, made monotone from the largest p down; each family of m tests alone."""
@@ -62,8 +64,7 @@ def budget_fold(spends: DataFrame, budget: float) -> DataFrame:
 
 def cooled(alerts: DataFrame, seconds: int) -> DataFrame:
     """(key, emitted): how many alerts (key, at in seconds) go out if each silences its key's others for some seconds; a fold, as silence counts from what went out."""
-    ordered = alerts.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("t"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("last"))
-    due = lambda s, x: s["last"].isNull() | (x - s["last"] >= seconds)
-    step = lambda s, x: F.struct((s["n"] + due(s, x).cast("int")).alias("n"), F.when(due(s, x), x).otherwise(s["last"]).alias("last"))
-    return ordered.select("key", F.aggregate("t", start, step)["n"].alias("emitted"))
+    due = lambda state, at, _: ((at,), (True,)) if state[0] is None or at - state[0] >= seconds else (state, None)
+    rule = limits.Rule((None,), "last long", "sent boolean", due, 0)
+    sent = limits.folded(alerts.select("key", "at", F.col("at").alias("id")), rule)
+    return sent.groupBy("key").agg(F.count("*").cast("int").alias("emitted"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import evaluation, integrity, signals
+from ..operators.redaction import PII
 from ..sources import table
 
 QUERIES, SQL = {}, {}
@@ -167,13 +168,6 @@ def pii_redact(spark, sf):
     return table(spark, sf, "documents").where(F.col("text").rlike(EMAIL)).select("doc_id", F.md5(F.regexp_replace("text", EMAIL, "[EMAIL]").cast("binary")).alias("redacted"))
 
 
-#: The kinds of personal data in order of precedence.
-PII = {
-    "email": r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[A-Za-z]{2,}\b",
-    "phone": r"\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}\b",
-    "ipv4": r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b",
-    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-}
 ANY_PII = "|".join(PII.values())
 PII_COUNTS = ", ".join(f"len(regexp_extract_all(text, '{x}')) AS n_{k}" for k, x in PII.items())
 PII_REDACTED = "text"

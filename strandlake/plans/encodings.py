@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encoders as E
 from ..functions import vectors as V
-from ..operators import pir
+from ..operators import lineage, pir
 from ..sources import table
 
 QUERIES, SQL = {}, {}
@@ -209,10 +209,13 @@ def feature_hashing(spark, sf):
     return each.groupBy("vec_id", (F.abs(F.col("x") * 1000).cast("long") % 32).cast("int").alias("slot")).agg(F.sum(F.signum("x")).cast("int").alias("value"))
 
 
-@query("SELECT label, bool_and(d >= 0) AS rising, count(*) AS n FROM (SELECT label, vec_id - lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS d FROM embeddings) WHERE d IS NOT NULL GROUP BY label")
+@query("SELECT label, bool_and(d >= 0) AS rising, bool_and(d <= 0) AS falling, count(*) FILTER (d > 0) AS rises, count(*) AS n FROM (SELECT label, embedding[1] - lag(embedding[1]) OVER (PARTITION BY label ORDER BY vec_id) AS d FROM embeddings) WHERE d IS NOT NULL GROUP BY label")
 def monotone_series(spark, sf):
-    d = F.col("vec_id") - F.lag("vec_id").over(W.partitionBy("label").orderBy("vec_id"))
-    return table(spark, sf, "embeddings").select("label", d.alias("d")).where("d is not null").groupBy("label").agg(F.bool_and(F.col("d") >= 0).alias("rising"), F.count("*").alias("n"))
+    """Whether each label's first component rises or falls throughout, by id."""
+    x = F.get("embedding", F.lit(0))
+    d = x - F.lag(x).over(W.partitionBy("label").orderBy("vec_id"))
+    steps = table(spark, sf, "embeddings").select("label", d.alias("d")).where("d is not null")
+    return steps.groupBy("label").agg(F.bool_and(F.col("d") >= 0).alias("rising"), F.bool_and(F.col("d") <= 0).alias("falling"), F.count_if(F.col("d") > 0).alias("rises"), F.count("*").alias("n"))
 
 
 @query("SELECT label, count(*) AS n, count(*) FILTER (d > 0.9) AS flagged, round(avg(d), 5) AS mean, round(max(d), 5) AS top FROM (SELECT label, 1 - list_cosine_similarity(embedding::DOUBLE[], lag(embedding) OVER (PARTITION BY label ORDER BY vec_id)::DOUBLE[]) AS d FROM embeddings) WHERE d IS NOT NULL GROUP BY label")
@@ -317,11 +320,21 @@ def early_stop(spark, sf):
 LINEAGE = "WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 0), a AS (SELECT child, parent FROM e UNION ALL SELECT a.child, e.parent FROM a JOIN e ON a.parent = e.child)"
 
 
+def _parts(spark, sf):
+    """Each part below the part of half its key."""
+    return table(spark, sf, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent"))
+
+
 @query(f"{LINEAGE} SELECT child AS node, count(*) AS ancestors FROM a GROUP BY child")
 def lineage_ancestors(spark, sf):
-    """How many nodes stand above each, one join for each level of the tree."""
-    table(spark, sf, "part").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent")).where("child > 0").createOrReplaceTempView("lineage_edges")
-    return spark.sql("WITH RECURSIVE a(child, parent) AS (SELECT child, parent FROM lineage_edges UNION ALL SELECT a.child, e.parent FROM a JOIN lineage_edges e ON a.parent = e.child) SELECT child AS node, count(*) AS ancestors FROM a GROUP BY child")
+    """How many nodes stand above each."""
+    return lineage.lineage(_parts(spark, sf)).select("node", "ancestors")
+
+
+@query("WITH RECURSIVE w AS (SELECT p_partkey AS node, p_partkey // 2 AS up, p_partkey::VARCHAR AS path FROM part WHERE p_partkey > 0 UNION ALL SELECT node, up // 2, up || '/' || path FROM w WHERE up > 0) SELECT node, '0/' || path AS path FROM w WHERE up = 0")
+def lineage_paths(spark, sf):
+    """The way from the root down to each node."""
+    return lineage.lineage(_parts(spark, sf), paths=True).select("node", F.array_join("path", "/").alias("path"))
 
 
 @query("SELECT p_size AS parent, count(*) AS children FROM part WHERE p_type <> 'AGGREGATE' GROUP BY p_size HAVING count(*) > 1")
@@ -335,10 +348,10 @@ def shard_placement(spark, sf):
     return each.select("shard", "replica", F.pmod(F.col("shard") + F.col("replica"), F.lit(7)).alias("node"))
 
 
-@query("SELECT event_id, event_id % (SELECT count(*) FROM supplier WHERE s_acctbal > 0) AS node FROM events")
+@query("SELECT event_id, event_id % nullif((SELECT count(*) FROM supplier WHERE s_acctbal > 0), 0) AS node FROM events")
 def round_robin(spark, sf):
     healthy = table(spark, sf, "supplier").where("s_acctbal > 0").agg(F.count("*").alias("n"))  # one row
-    return table(spark, sf, "events").join(F.broadcast(healthy)).select("event_id", (F.col("event_id") % F.col("n")).alias("node"))
+    return table(spark, sf, "events").join(F.broadcast(healthy)).select("event_id", (F.col("event_id") % F.nullif(F.col("n"), F.lit(0))).alias("node"))
 
 
 @query("SELECT l_orderkey, l_linenumber, least(l_orderkey // 4000, 2) AS shard FROM lineitem")
@@ -380,9 +393,15 @@ def weighted_sample(spark, sf):
     return table(spark, sf, "customer").where("c_acctbal > 500").select("c_custkey", F.round(-F.ln(u) / F.col("c_acctbal"), 9).alias("key")).orderBy("key", "c_custkey").limit(20)
 
 
-@query("SELECT 'mini' AS tier, 25 AS kb UNION ALL SELECT 'clinical', 300 UNION ALL SELECT 'full', 200 * 3")
+#: Kilobytes of a genome in each tier; the full one has three kinds of data of 200 each.
+TIER_KB = {"mini": 25, "clinical": 300, "full": 3 * 200}
+
+
+@query("WITH t AS (SELECT c_nationkey, CASE WHEN c_acctbal < 0 THEN 'mini' WHEN c_acctbal < 5000 THEN 'clinical' ELSE 'full' END AS tier FROM customer) SELECT c_nationkey, count(*) AS genomes, sum(CASE tier WHEN 'mini' THEN 25 WHEN 'clinical' THEN 300 ELSE 600 END)::BIGINT AS kb FROM t GROUP BY c_nationkey")
 def storage_requirements(spark, sf):
-    return spark.createDataFrame([("mini", 25), ("clinical", 300), ("full", 200 * 3)], "tier string, kb int")
+    """What the customers of each nation take, each in the tier of their balance."""
+    tier = F.when(F.col("c_acctbal") < 0, TIER_KB["mini"]).when(F.col("c_acctbal") < 5000, TIER_KB["clinical"]).otherwise(TIER_KB["full"])
+    return table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("genomes"), F.sum(tier).cast("long").alias("kb"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_brand IN ('Brand#11', 'Brand#22') ORDER BY p_partkey LIMIT 5000")
