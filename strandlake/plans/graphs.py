@@ -1,10 +1,11 @@
-"""Graphs of near vectors, their persistence, and lineage on the tables, with the SQL of each."""
+"""Graphs of near vectors, their persistence, genomes as vectors and layers of splines on the tables, with the SQL of each."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import neighbors, topology
+from ..operators import genome_vectors as genomes
+from ..operators import neighbors, splines, topology
 from ..sources import table
 
 QUERIES, SQL = {}, {}
@@ -63,3 +64,41 @@ PRIM = f"""{_graph('g', 'embedding')}, e AS (SELECT DISTINCT least(id, near) AS
 def h0_persistence(spark, sf):
     """When the components of the graph of near vectors merge, over all rows."""
     return topology.h0_persistence(near_edges(spark, sf))
+
+
+@query(None)
+def genome_encode(spark, sf):
+    """A vector for each supplier, of its lines as variants."""
+    letter = lambda c: F.element_at(F.array(*map(F.lit, genomes.BASES)), (F.col(c) % 4 + 1).cast("int"))
+    kinds = F.when(F.col("l_returnflag") == "A", "INS").when(F.col("l_returnflag") == "R", "DEL").otherwise("SNP")
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("sample"), F.concat(F.lit("chr"), "l_linenumber").alias("chrom"), (F.col("l_partkey") * 1000).alias("pos"), letter("l_partkey").alias("ref"), letter("l_orderkey").alias("alt"), kinds.alias("kind")
+    )
+    return genomes.genome_vectors(lines, dimension=256).select("sample", "n", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query(None)
+def sequence_encode(spark, sf):
+    """A vector for each document, of the bases among its letters."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return genomes.sequence_vectors(texts, dimension=64).select(F.col("id").alias("doc_id"), F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+def coefficients(spark, outputs: int, inputs: int):
+    """Made by a rule, as the tables have none: 12 knots' functions of each pair of input and output."""
+    cells = spark.range(outputs * inputs * 12).select((F.col("id") % outputs).cast("int").alias("output"), F.expr(f"cast(id div {outputs} % {inputs} as int)").alias("input"), F.expr(f"cast(id div {outputs * inputs} as int)").alias("k"))
+    return cells.select("*", (((F.col("output") * 31 + F.col("input") * 17 + F.col("k") * 7) % 101) / 101.0 - 0.5).alias("c"))
+
+
+def _layer(name: str, source: str, outputs: int) -> str:
+    """Over even knots a cubic's four pieces, by where x lies in its interval."""
+    return f"""{name}_x AS (SELECT id, i, (least(greatest(x, -1), 1) + 1) * 4.5 AS p, least(floor((least(greatest(x, -1), 1) + 1) * 4.5), 8)::INT AS m FROM {source}), {name}_b AS (
+  SELECT id, i, m + r AS k, CASE r WHEN 0 THEN pow(1 - u, 3) / 6 WHEN 1 THEN (3 * u * u * u - 6 * u * u + 4) / 6 WHEN 2 THEN (-3 * u * u * u + 3 * u * u + 3 * u + 1) / 6 ELSE u * u * u / 6 END AS w FROM (SELECT *, p - m AS u, unnest(range(4)) AS r FROM {name}_x)
+), {name} AS (SELECT id, o AS i, tanh(sum(w * (((o * 31 + i * 17 + k * 7) % 101) / 101.0::DOUBLE - 0.5::DOUBLE))) AS x FROM {name}_b, range({outputs}) t(o) GROUP BY id, o)"""
+
+
+@query(f"WITH s AS (SELECT vec_id AS id, (pos - 1)::INT AS i, embedding[pos]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS pos FROM embeddings)), {_layer('a', 's', 8)}, {_layer('b', 'a', 3)} SELECT id AS vec_id, i::INT AS pos, round(x, 5) AS x FROM b")
+def spline_encode(spark, sf):
+    """Two layers of cubic splines, from 64 components to 8 to 3."""
+    out = splines.spline_encode(vectors(spark, sf), [coefficients(spark, 8, 64), coefficients(spark, 3, 8)])
+    return out.select(F.col("id").alias("vec_id"), F.posexplode("vector").alias("pos", "x")).withColumn("x", F.round("x", 5))
