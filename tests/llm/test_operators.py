@@ -473,6 +473,21 @@ def test_passage_whose_ends_smaller_ids_hold(spark):
     assert {(r["doc_id"], r["other_id"]) for r in got} == {(4, 3)} and got[0]["n_words"] >= 60
 
 
+@pytest.mark.parametrize("shared,piece,pieces", [(60, 44, 2), (150, 47, 8), (200, 47, 10)])
+def test_passages_that_smaller_ids_cover_piece_by_piece(spark, shared, piece, pieces):
+    """Two texts share a passage of which smaller ids hold every part: they are found together all the same."""
+    rng = random.Random(shared)
+    rows, want = [], set()
+    for case in range(8):
+        p, i = prose(rng, shared).split(), 100 * case
+        at = [round(x * (shared - piece) / (pieces - 1)) for x in range(pieces)]
+        texts = [*(p[a : a + piece] for a in at), p, p]
+        rows += [(i + j, " ".join([prose(rng, 40), *t, prose(rng, 40)])) for j, t in enumerate(texts)]
+        want.add((i + pieces + 1, i + pieces))
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got if r["n_words"] >= 0.9 * shared} >= want
+
+
 def test_secrets(spark, docs, empty):
     rng = random.Random(4)
     key = lambda n, a="0123456789abcdef": "".join(rng.choice(a) for _ in range(n))
