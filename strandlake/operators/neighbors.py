@@ -19,6 +19,8 @@ MOST_PIVOTS = 4096
 #: Tasks that share one block's work.
 SALTS = 4
 DIGITS = 9
+#: Scores that are held at a time.
+STRIP = 1 << 21
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -65,6 +67,21 @@ def _searcher(dim: int, k: int, metric: str):
         rows = np.repeat(np.arange(len(ids)), some.sum(1))
         return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(near[some]), pa.array(top[some])], ["id", "near", "score"])
 
+    def merged(asked, ids, top, near, own, v):
+        """The k best of each row among those so far and a block's, by score and then by id."""
+        s = scores(asked, v)
+        s[ids[:, None] == own] = -np.inf
+        s = np.concatenate([top, s], 1)
+        i = np.where(s == -np.inf, -1, np.concatenate([near, np.broadcast_to(own, (len(ids), len(own)))], 1))
+        if s.shape[1] > 4 * k:  # all that tie with the k-th stay for the sort
+            least = -np.partition(-s, k - 1, 1)[:, k - 1 : k]
+            width = min(int((s >= least).sum(1).max()), s.shape[1])
+            if width < s.shape[1]:
+                part = np.argpartition(-s, width - 1, 1)[:, :width]
+                s, i = np.take_along_axis(s, part, 1), np.take_along_axis(i, part, 1)
+        order = np.lexsort((i, -s), axis=1)[:, :k]
+        return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = None
         for batch in batches:
@@ -78,19 +95,9 @@ def _searcher(dim: int, k: int, metric: str):
                     key, ids, asked = here, own, v
                     top, near = np.full((len(ids), 0), -np.inf), np.full((len(ids), 0), -1, np.int64)
                     continue
-                s = scores(asked, v)
-                s[ids[:, None] == own] = -np.inf
-                # heaps of k: the old ones and the new block's, ordered by score and then by id
-                s = np.concatenate([top, s], 1)
-                i = np.concatenate([near, np.broadcast_to(own, (len(ids), len(own)))], 1)
-                i = np.where(s == -np.inf, -1, i)
-                if s.shape[1] > 4 * k:  # all that tie with the k-th stay for the sort
-                    least = -np.partition(-s, k - 1, 1)[:, k - 1 : k]
-                    width = int((s >= least).sum(1).max())
-                    part = np.argpartition(-s, min(width, s.shape[1] - 1), 1)[:, :width]
-                    s, i = np.take_along_axis(s, part, 1), np.take_along_axis(i, part, 1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                top, near = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                step = max(1, STRIP // max(1, len(own)))
+                strips = [merged(asked[a : a + step], ids[a : a + step], top[a : a + step], near[a : a + step], own, v) for a in range(0, len(ids), step)]
+                top, near = (np.concatenate(x) for x in zip(*strips, strict=True))
         if key is not None:
             yield found(key, ids, top, near)
 
