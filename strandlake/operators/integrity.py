@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .steps import Steps
+
 
 def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ledger, last = None, ""
@@ -78,3 +80,28 @@ def merkle_root(leaves: DataFrame) -> DataFrame:
         level = pairs.select(F.col("p").alias("idx"), F.sha2(F.concat("a", "b"), 256).alias("hash"))
         n, levels = -(-n // 2), levels + 1
     return level.select(F.col("hash").alias("root"), F.lit(levels).alias("levels"))
+
+
+def merkle_verified(leaves: DataFrame, claims: DataFrame, tag: str = "NODE") -> DataFrame:
+    """claims (idx, hash) to (idx, valid): whether each hash, hashed up the tree with the siblings that the tree of leaves (idx from 0, hash) has, gives its root.
+
+    All claims go up together, a join a level with that level's siblings, and each level of the tree is written once. A claim beyond the leaves, or a
+    null one, isn't valid; claims may repeat. Without leaves no claim is.
+    """
+    steps, n = Steps(leaves.sparkSession), leaves.count()
+    level = steps.written(leaves.select("idx", "hash"), "level")
+    up = claims.select("idx", "hash", F.col("idx").alias("at"))
+    while n > 1:
+        # the pair of each node: itself and its sibling, or itself twice where an odd last one has none
+        pairs = steps.written(level.groupBy(F.expr("idx div 2").alias("p")).agg(F.min_by("hash", "idx").alias("a"), F.max_by("hash", "idx").alias("b")), "pairs")
+        even = F.col("at") % 2 == 0
+        met = up.join(pairs, F.expr("at div 2") == F.col("p"), "left")
+        alone = F.col("at") == n - 1
+        left, right = F.when(even, F.col("hash")).otherwise(F.col("a")), F.when(even, F.when(alone, F.col("hash")).otherwise(F.col("b"))).otherwise(F.col("hash"))
+        hashed = _framed(F.lit(tag).cast("binary"), F.unhex(left), F.unhex(right))
+        up = met.select("idx", F.when(F.col("p").isNotNull(), hashed).alias("hash"), F.expr("at div 2").alias("at"))
+        level = pairs.select(F.col("p").alias("idx"), _framed(F.lit(tag).cast("binary"), F.unhex("a"), F.unhex("b")).alias("hash"))
+        n = -(-n // 2)
+    root = level.agg(F.max("hash").alias("root"))  # one row
+    inside = F.col("idx").between(0, leaves.count() - 1)
+    return up.join(F.broadcast(root)).select("idx", F.coalesce(inside & (F.col("hash") == F.col("root")), F.lit(False)).alias("valid"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import genome_vectors as genomes
-from ..operators import diagrams, neighbors, splines, topology
+from ..operators import diagrams, integrity, neighbors, projections, splines, topology
 from ..sources import table
 
 QUERIES, SQL = {}, {}
@@ -120,3 +120,34 @@ def spline_encode(spark, sf):
     """Two layers of cubic splines, from 64 components to 8 to 3."""
     out = splines.spline_encode(vectors(spark, sf), [coefficients(spark, 8, 64), coefficients(spark, 3, 8)])
     return out.select(F.col("id").alias("vec_id"), F.posexplode("vector").alias("pos", "x")).withColumn("x", F.round("x", 5))
+
+
+@query(None)
+def projections_by_kind(spark, sf):
+    """Each vector through a sparse, a gaussian and an orthogonal projection to 16 components."""
+    out = None
+    for kind in projections.KINDS:
+        one = projections.project(vectors(spark, sf), 16, 64, kind, seed=3)
+        one = one.select(F.col("id").alias("vec_id"), F.lit(kind).alias("kind"), F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: A level a step, as lists of hashes: each pair is hashed after its lengths, an odd last one with itself.
+TREE = """l AS (SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS i, sha256(p_partkey || ':' || p_name) AS h FROM part), tree AS (
+  SELECT list(h ORDER BY i) AS h FROM l UNION ALL
+  SELECT list_transform(range(1, len(h) + 1, 2), lambda j: sha256(unhex('00000004') || encode('NODE') || unhex('00000020') || unhex(h[j]) || unhex('00000020') || unhex(coalesce(h[j + 1], h[j])))) FROM tree WHERE len(h) > 1)"""
+
+
+@query(f"""WITH RECURSIVE {TREE}, k AS (SELECT i, CASE WHEN i % 97 = 5 THEN sha256(h || 'x') ELSE h END AS h FROM l), up AS (
+  SELECT i, h, i AS pos, (SELECT list(h ORDER BY i) FROM l) AS t FROM k UNION ALL
+  SELECT i, sha256(unhex('00000004') || encode('NODE') || unhex('00000020') || unhex(CASE WHEN pos % 2 = 0 THEN h ELSE t[pos] END) || unhex('00000020') || unhex(CASE WHEN pos % 2 = 1 OR pos + 1 = len(t) THEN h ELSE t[pos + 2] END)), pos // 2,
+    (SELECT any_value(h) FROM tree WHERE len(h) = (len(t) + 1) // 2) FROM up WHERE len(t) > 1
+) SELECT i AS idx, h = t[1] AS valid FROM up WHERE len(t) = 1""")
+def merkle_verified(spark, sf):
+    """Each part's claim against the tree of all; every 97th has been tampered with."""
+    part = table(spark, sf, "part")
+    low = part.agg(F.min("p_partkey").alias("low"))  # one row
+    leaves = part.join(F.broadcast(low)).select((F.col("p_partkey") - F.col("low")).alias("idx"), F.sha2(F.concat_ws(":", "p_partkey", "p_name"), 256).alias("hash"))
+    claims = leaves.select("idx", F.when(F.col("idx") % 97 == 5, F.sha2(F.concat("hash", F.lit("x")), 256)).otherwise(F.col("hash")).alias("hash"))
+    return integrity.merkle_verified(leaves, claims)
