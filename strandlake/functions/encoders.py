@@ -78,3 +78,34 @@ def jaccard_bool(a: Column, b: Column) -> Column:
 
 def mean_absolute(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+
+def average_ranks(v: Column) -> Column:
+    """The rank of each component from 1, equal ones at their average. Time grows with the square of the size."""
+    return F.transform(v, lambda x: F.size(F.filter(v, lambda y: y < x)) + (F.size(F.filter(v, lambda y: y == x)) + 1) / F.lit(2.0))
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """The correlation of two arrays of one size; 0 where either doesn't vary."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    middle = lambda v: F.transform(v, lambda x: x.cast("double") - F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double")) / F.size(v))
+    both = F.transform(F.array(F.struct(middle(a).alias("a"), middle(b).alias("b"))), lambda c: total(F.zip_with(c["a"], c["b"], lambda x, y: x * y)) / F.nullif(F.sqrt(total(F.transform(c["a"], lambda x: x * x)) * total(F.transform(c["b"], lambda x: x * x))), F.lit(0.0)))
+    return F.coalesce(F.get(both, F.lit(0)), F.lit(0.0))
+
+
+def spearman(a: Column, b: Column) -> Column:
+    """The correlation of ranks."""
+    ranks = F.transform(F.array(F.struct(average_ranks(a).alias("a"), average_ranks(b).alias("b"))), lambda c: pearson(c["a"], c["b"]))
+    return F.get(ranks, F.lit(0))
+
+
+def haplotype(a: Column, b: Column) -> Column:
+    """The share of places where both have the same value; null for empty arrays."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.nullif(F.size(a), F.lit(0))
+
+
+def structural(a: Column, b: Column) -> Column:
+    """The overlap of absolute values, over the smaller sum; 0 if that is 0."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
+    shared = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(F.abs(x.cast("double")), F.abs(y.cast("double")))), F.lit(0.0), lambda s, x: s + x)
+    return F.coalesce(shared / F.nullif(F.least(total(a), total(b)), F.lit(0.0)), F.lit(0.0))

@@ -144,6 +144,15 @@ def pearson_pairs(spark, sf):
     return both.groupBy("vec_id").agg(F.round(F.corr(F.col("z.a").cast("double"), F.col("z.b").cast("double")), 5).alias("r"))
 
 
+@query(f"""WITH {PAIRS}, u AS (SELECT vec_id, unnest(a) AS x, unnest(b) AS y FROM q), r AS (SELECT vec_id, x, y, rank() OVER (PARTITION BY vec_id ORDER BY x) + (count(*) OVER (PARTITION BY vec_id, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY vec_id ORDER BY y) + (count(*) OVER (PARTITION BY vec_id, y) - 1) / 2.0 AS ry FROM u)
+SELECT vec_id, round(corr(rx, ry), 5) AS spearman, round(avg(((x > 0) = (y > 0))::INT), 6) AS haplotype, round(sum(least(abs(x), abs(y))) / least(sum(abs(x)), sum(abs(y))), 5) AS structural FROM r GROUP BY vec_id""")
+def biological_pairs(spark, sf):
+    """Rank correlation, the share of equal alleles (a component's sign) and the overlap of each vector with the one before it of its label."""
+    a, b = F.col("a"), F.col("b")
+    alleles = lambda v: F.transform(v, lambda x: x > 0)
+    return pairs(spark, sf).select("vec_id", F.round(E.spearman(a, b), 5).alias("spearman"), F.round(E.haplotype(alleles(a), alleles(b)), 6).alias("haplotype"), F.round(E.structural(a, b), 5).alias("structural"))
+
+
 KNN = "s AS (SELECT x.vec_id AS query_id, y.vec_id AS vec_id, list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS score FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 50 = 0)"
 
 

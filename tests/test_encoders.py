@@ -104,3 +104,17 @@ def test_layers(spark):
     got = {r["id"]: r["vector"] for r in spline_layer(df, layer).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-9) for i in want)
     assert spline_encode(df, []).count() == 3
+
+
+def test_biological_similarities(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.functions import encoders as E
+
+    rows = [(1, [1.0, 2.0, 2.0, 4.0], [0.5, 9.0, 3.0, 3.0]), (2, [1.0, 1.0], [2.0, 3.0]), (3, [0.0, 0.0], [0.0, 0.0]), (4, [], [])]
+    df = spark.createDataFrame(rows, "id long, a array<double>, b array<double>")
+    a, b = F.col("a"), F.col("b")
+    got = {r[0]: tuple(r)[1:] for r in df.select("id", E.spearman(a, b), E.haplotype(a, b), E.structural(a, b)).collect()}
+    ranks = np.corrcoef([1, 2.5, 2.5, 4], [1, 4, 2.5, 2.5])[0, 1]
+    assert np.allclose(got[1], (ranks, 0.0, (0.5 + 2 + 2 + 3) / 9))
+    assert np.allclose(got[2], (0.0, 0.0, 1.0)) and np.allclose(got[3], (0.0, 1.0, 0.0)) and got[4] == (0.0, None, 0.0)
