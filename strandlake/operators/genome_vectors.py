@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 UNIT = float(1 << 42)
 #: Samples whose sums a task holds at a time.
 HELD = 64
+#: Tasks that share a sample.
+SALTS = 16
 BASES = ("A", "T", "G", "C")
 TYPES = ("SNP", "INS", "DEL", "DUP", "INV")
 
@@ -117,7 +119,10 @@ def genome_vectors(variants: DataFrame, dimension: int = 10_000, seed: int = 0)
     steps = F.floor(F.coalesce(F.col("pos"), F.lit(0)) / 1_000_000).cast("long")
     rows = variants.select("sample", F.coalesce(chromosome_number(F.col("chrom")), F.lit(25)).alias("number"), steps.alias("steps"), F.coalesce(F.col("ref"), F.lit("")).alias("ref"), F.coalesce(F.col("alt"), F.lit("")).alias("alt"), kind.alias("kind"))
     of = variants.schema["sample"].dataType.simpleString()
-    partial = rows.mapInArrow(_partial(dimension, seed), f"sample {of}, n long, v array<bigint>")
+    # each sample's variants lie together in a few tasks, so a task gives one sum for each sample that it has
+    salt = F.pmod(F.xxhash64("number", "steps", "ref", "alt"), F.lit(SALTS))
+    dealt = rows.withColumn("salt", salt).repartition("sample", "salt").sortWithinPartitions("sample").drop("salt")
+    partial = dealt.mapInArrow(_partial(dimension, seed), f"sample {of}, n long, v array<bigint>")
     cells = partial.select("sample", "n", F.posexplode("v").alias("at", "x")).groupBy("sample", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     whole = cells.groupBy("sample").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda c: c["x"]).alias("v"))  # dimension cells
     return whole.mapInArrow(_finish(dimension, seed), f"sample {of}, n long, vector array<double>")
