@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encoders as E
 from ..functions import vectors as V
-from ..operators import lineage, pir
+from ..operators import lineage, pir, sequences
 from ..sources import table
 
 QUERIES, SQL = {}, {}
@@ -28,8 +28,8 @@ PAIRS = "p AS (SELECT vec_id, embedding::DOUBLE[] AS a, lag(embedding) OVER (PAR
 
 
 def pairs(spark, sf):
-    before = F.lag("embedding").over(W.partitionBy("label").orderBy("vec_id"))
-    return table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("a"), before.alias("b")).where("b is not null")
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("a"))
+    return sequences.beside_previous(rows, "label", "vec_id", "a", "b").where("b is not null").select("vec_id", "a", "b")
 
 
 def cells(rows, value, digits=6):
@@ -221,16 +221,14 @@ def feature_hashing(spark, sf):
 @query("SELECT label, bool_and(d >= 0) AS rising, bool_and(d <= 0) AS falling, count(*) FILTER (d > 0) AS rises, count(*) AS n FROM (SELECT label, embedding[1] - lag(embedding[1]) OVER (PARTITION BY label ORDER BY vec_id) AS d FROM embeddings) WHERE d IS NOT NULL GROUP BY label")
 def monotone_series(spark, sf):
     """Whether each label's first component rises or falls throughout, by id."""
-    x = F.get("embedding", F.lit(0))
-    d = x - F.lag(x).over(W.partitionBy("label").orderBy("vec_id"))
-    steps = table(spark, sf, "embeddings").select("label", d.alias("d")).where("d is not null")
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).alias("x"))
+    steps = sequences.beside_previous(rows, "label", "vec_id", "x", "p").select("label", (F.col("x") - F.col("p")).alias("d")).where("d is not null")
     return steps.groupBy("label").agg(F.bool_and(F.col("d") >= 0).alias("rising"), F.bool_and(F.col("d") <= 0).alias("falling"), F.count_if(F.col("d") > 0).alias("rises"), F.count("*").alias("n"))
 
 
 @query("SELECT label, count(*) AS n, count(*) FILTER (d > 0.9) AS flagged, round(avg(d), 5) AS mean, round(max(d), 5) AS top FROM (SELECT label, 1 - list_cosine_similarity(embedding::DOUBLE[], lag(embedding) OVER (PARTITION BY label ORDER BY vec_id)::DOUBLE[]) AS d FROM embeddings) WHERE d IS NOT NULL GROUP BY label")
 def drift_summary(spark, sf):
-    before = F.lag("embedding").over(W.partitionBy("label").orderBy("vec_id"))
-    rows = table(spark, sf, "embeddings").select("label", "embedding", before.alias("p")).where("p is not null").select("label", (1 - V.cosine(F.col("embedding"), F.col("p"))).alias("d"))
+    rows = sequences.beside_previous(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), "label", "vec_id", "embedding", "p").where("p is not null").select("label", (1 - V.cosine(F.col("embedding"), F.col("p"))).alias("d"))
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0.9).alias("flagged"), F.round(F.avg("d"), 5).alias("mean"), F.round(F.max("d"), 5).alias("top"))
 
 

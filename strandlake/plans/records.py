@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import sequences
 from ..sources import table
 
 QUERIES, SQL = {}, {}
@@ -154,8 +155,8 @@ def recent_trend(spark, sf):
 
 @query("SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], p::DOUBLE[]), 5) AS drift FROM (SELECT vec_id, label, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) WHERE p IS NOT NULL")
 def drift_series(spark, sf):
-    before = F.lag("embedding").over(W.partitionBy("label").orderBy("vec_id"))
-    return table(spark, sf, "embeddings").select("vec_id", "embedding", before.alias("p")).where("p is not null").select("vec_id", F.round(1 - V.cosine(F.col("embedding"), F.col("p")), 5).alias("drift"))
+    rows = sequences.beside_previous(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), "label", "vec_id", "embedding", "p")
+    return rows.where("p is not null").select("vec_id", F.round(1 - V.cosine(F.col("embedding"), F.col("p")), 5).alias("drift"))
 
 
 @query("SELECT vec_id, list_transform(embedding[1:8], lambda x: round(x::DOUBLE * 127)::INT)::VARCHAR AS q FROM embeddings")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import evaluation, federated, integrity, signals, statistics
+from ..operators import evaluation, federated, integrity, sequences, signals, statistics
 from ..sources import table
 from .analytic import SCORED, scored
 from .tabular import POSITIONS, updates
@@ -110,9 +110,8 @@ def performance_drift(spark, sf):
 @query("SELECT vec_id, round(d, 5) AS drift, CASE WHEN d >= 0.75 THEN 'critical' WHEN d >= 0.5 THEN 'high' WHEN d >= 0.25 THEN 'medium' WHEN d >= 0.1 THEN 'low' ELSE 'none' END AS severity FROM (SELECT vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], first_value(embedding) OVER (PARTITION BY label ORDER BY vec_id)::DOUBLE[]) AS d FROM embeddings)")
 def semantic_drift(spark, sf):
     """Against the first vector of the label."""
-    base = F.first("embedding").over(W.partitionBy("label").orderBy("vec_id"))
     d = 1 - V.cosine(F.col("embedding"), F.col("b"))
-    return table(spark, sf, "embeddings").select("vec_id", "embedding", base.alias("b")).select("vec_id", F.round(d, 5).alias("drift"), statistics.severity(d).alias("severity"))
+    return sequences.beside_first(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), "label", "vec_id", "embedding", "b").select("vec_id", F.round(d, 5).alias("drift"), statistics.severity(d).alias("severity"))
 
 
 @query("SELECT event_type, count(*) AS n, max(event_id) AS last, round(avg(value), 5) AS mean, count(*) FILTER (value >= 300) AS high FROM events GROUP BY event_type")
@@ -130,8 +129,7 @@ def phase_points(spark, sf):
 @query("""WITH s AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id)::DOUBLE[] AS p FROM embeddings)
 SELECT label, count(*) AS steps, round(sum(list_distance(e, p)), 4) AS path FROM s WHERE p IS NOT NULL GROUP BY label""")
 def trajectory(spark, sf):
-    before = F.lag("embedding").over(W.partitionBy("label").orderBy("vec_id"))
-    steps = table(spark, sf, "embeddings").select("label", "embedding", before.alias("p")).where("p is not null")
+    steps = sequences.beside_previous(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), "label", "vec_id", "embedding", "p").where("p is not null")
     return steps.groupBy("label").agg(F.count("*").alias("steps"), F.round(F.sum(V.euclidean(F.col("embedding"), F.col("p"))), 4).alias("path"))
 
 
