@@ -72,6 +72,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(F.filter("spans", of(k))).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
         F.sha2(F.array_join(F.transform(base, written), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", written), ",").alias("spans"),
+        F.round(F.array_min("likelihoods"), 6).alias("least_likelihood"),
     )
 
 

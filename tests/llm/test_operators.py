@@ -526,6 +526,40 @@ def test_formats_find_unseen_credentials_and_nothing_else():
     assert not any(map(formats.likely, ("192.168.100.201", "2024-01-30T10", "https.www.example.com")))
 
 
+def test_margins_let_a_stated_share_pass():
+    rng = random.Random(9)
+    pick = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    others = [pick(rng.randint(12, 20), "abcdeghnorst0123") for _ in range(14_000)]
+    keys = [pick(24, "ABCDEFabcdef0123456789") for _ in range(200)]
+    formats = grammars.Formats({"assign": keys}, others)
+    assert sum(len(grammars.Formats({}, others[:n]).kinds) for n in (0, 5)) == 0
+    assert formats.false_rate["assign"] <= grammars.RATE and formats.recall["assign"] > 0.9
+    loose = grammars.Formats({"hex": [pick(16, "0123456789abcdef") for _ in range(200)]}, others, rate=0.05)
+    assert loose.false_rate["hex"] <= 0.05
+
+
+def test_secrets_of_a_learnt_format_are_found_wherever_they_stand(spark):
+    """Keys of one format are learnt behind 'token ='; the same format without it, and with no other sign, is found; nothing in plain texts is."""
+    rng = random.Random(10)
+    pick = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = lambda: f"sk-{pick(6, '0123456789')}-{pick(24, letters + letters.lower() + '0123456789')}"
+    long_word = lambda: "".join(rng.choice(["an", "th", "re", "on", "ed", "schein"]) for _ in range(rng.randint(6, 9)))
+    labelled = [f"{prose(rng, 20)} token = {key()} {long_word()}" for _ in range(150)]
+    plain = [f"{prose(rng, 20)} {long_word()} 10.{pick(3, '123')}.{pick(3, '123')}.{pick(2, '12')} www.{long_word()}.com {long_word()}." for _ in range(600)]
+    planted = []
+    for _ in range(40):
+        before = f"{prose(rng, 10)} "
+        planted.append((f"{before}{(k := key())} {prose(rng, 5)}", ("format", len(before), len(before) + len(k))))
+    rows = [*enumerate(labelled), *enumerate((t for t, _ in planted), 1000), *enumerate(plain, 2000)]
+    got = {r["doc_id"]: r for r in grammars.secret_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert sum([tuple(x) for x in got[1000 + i]["spans"]] == [want] for i, (_, want) in enumerate(planted)) >= 38
+    assert all(not got[2000 + i]["spans"] for i in range(len(plain)))
+    likely = [x for r in got.values() for x in r["likelihoods"]]
+    assert sum(x > 0 for x in likely) >= 0.95 * len(likely)
+    assert all(len(r["spans"]) == len(r["likelihoods"]) for r in got.values())
+
+
 def test_mixing(spark, docs, empty):
     rows = mix_sources(docs).collect()
     assert len(rows) == len(corpus())
