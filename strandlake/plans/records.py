@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import sequences
+from ..operators import sequences, trajectories
 from ..sources import table
 
 QUERIES, SQL = {}, {}
@@ -159,6 +159,26 @@ def drift_series(spark, sf):
     return rows.where("p is not null").select("vec_id", F.round(1 - V.cosine(F.col("embedding"), F.col("p")), 5).alias("drift"))
 
 
+@query("""WITH d AS (SELECT vec_id, label, 1 - list_cosine_similarity(embedding::DOUBLE[], lag(embedding) OVER (PARTITION BY label ORDER BY vec_id)::DOUBLE[]) AS d FROM embeddings QUALIFY d IS NOT NULL),
+r AS (SELECT *, CASE WHEN count(*) OVER w = 5 THEN avg(d) OVER w END AS rolling FROM d WINDOW w AS (PARTITION BY label ORDER BY vec_id ROWS 4 PRECEDING))
+SELECT vec_id, d > 1.1 AS flagged, round(rolling, 5) AS rolling, coalesce(rolling > 0.99, FALSE) AS sustained FROM r""")
+def drift_flags(spark, sf):
+    """Drift from vector to vector of a label above 1.1, and where its mean over five is above nine tenths of that."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return trajectories.drift_flags(rows, "label", "vec_id", "embedding", 1.1, 5, 0.9).select("vec_id", "flagged", F.round("rolling", 5).alias("rolling"), F.coalesce("sustained", F.lit(False)).alias("sustained"))
+
+
+@query("""WITH s AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, lag(embedding) OVER w::DOUBLE[] AS p, lag(embedding, 2) OVER w::DOUBLE[] AS q FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+t AS (SELECT *, list_transform(range(1, 65), lambda i: coalesce(e[i] - p[i], 0)) AS a, list_transform(range(1, 65), lambda i: coalesce(p[i] - q[i], 0)) AS b FROM s),
+u AS (SELECT label, list_distance(e, p) AS length, CASE WHEN q IS NOT NULL THEN acos(greatest(-1, least(1, list_inner_product(a, b) / (sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b)) + 1e-8)))) END AS angle FROM t),
+f AS (SELECT label, count(*) AS n, list_distance(arg_max(embedding, vec_id)::DOUBLE[], arg_min(embedding, vec_id)::DOUBLE[]) AS direct FROM embeddings GROUP BY label)
+SELECT label, any_value(n) AS n, round(sum(length), 4) AS path, round(any_value(direct), 5) AS direct, round(any_value(direct) / (sum(length) + 1e-8), 6) AS efficiency, round(avg(angle), 5) AS avg_curvature, round(max(angle), 5) AS max_curvature FROM u JOIN f USING (label) GROUP BY label HAVING any_value(n) >= 3""")
+def trajectory_shape(spark, sf):
+    """The way through each label's vectors: its length, how straight it is and how it turns."""
+    found = trajectories.shape(table(spark, sf, "embeddings"), "label", "vec_id", "embedding").where("n >= 3")
+    return found.select("label", "n", F.round("path", 4).alias("path"), *(F.round(c, d).alias(c) for c, d in (("direct", 5), ("efficiency", 6), ("avg_curvature", 5), ("max_curvature", 5))))
+
+
 @query("SELECT vec_id, list_transform(embedding[1:8], lambda x: round(x::DOUBLE * 127)::INT)::VARCHAR AS q FROM embeddings")
 def quantize_int8(spark, sf):
     """The first eight components in steps of 1/127, written as a list."""
