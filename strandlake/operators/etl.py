@@ -42,5 +42,8 @@ def positive(value: Column, digits: int = 1) -> Column:
 
 
 def with_ratio(df: DataFrame, key: str, name: str, weight: Column, height: Column) -> DataFrame:
-    """(key, measure, value): weight / height ** 2 to one digit, as a further measurement; nothing where height is 0 or null."""
-    return df.where(height > 0).select(key, F.lit(name).alias("measure"), F.round(weight / (height * height), 1).alias("value"))
+    """(key, measure, value): weight / height ** 2 to one digit, as a further measurement; nothing where height is 0 or null.
+
+    Tenths are rounded as doubles, as SQL engines do: F.round goes by the shortest decimal, and 27.549999999999997 is 275.5 tenths.
+    """
+    return df.where(height > 0).select(key, F.lit(name).alias("measure"), (F.round(weight / (height * height) * 10) / 10).alias("value"))
