@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import privacy, redaction
+from ..operators import blocks, privacy, redaction
 from ..sources import table
 
 QUERIES, SQL = {}, {}
@@ -177,9 +177,8 @@ def holo_cleanup(spark, sf):
 @query("SELECT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: ((x.embedding[i] > 0) <> (y.embedding[i] > 0))::INT))::INT AS distance FROM embeddings x JOIN embeddings y ON x.vec_id % 50 = 0 AND x.vec_id <> y.vec_id")
 def pairwise_hamming(spark, sf):
     """All rows against the stated queries, those of ids divisible by 50."""
-    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("q"))
-    return rows.join(asked, F.col("vec_id") != F.col("a")).select("a", F.col("vec_id").alias("b"), V.hamming(F.col("q"), F.col("embedding")).alias("distance"))
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return blocks.hamming_of(rows.where("id % 50 = 0"), rows)
 
 
 @query("SELECT event_type, t::INT AS t, round(greatest(0, max(least(t - value * 0.5, value - t))), 4) AS height FROM events, (SELECT unnest(range(0, 500, 50)) AS t) GROUP BY event_type, t")
