@@ -27,6 +27,7 @@ def h0_persistence(edges: DataFrame, vertices: DataFrame | None = None) -> DataF
     and edges with a null or NaN weight are left out. vertices (v) adds vertices that no edge has.
     """
     steps = Steps(edges.sparkSession)
+    edges = steps.written(edges.select("a", "b", "w"), "edges")  # read twice, and a neighbour graph behind them is a search of all rows
     known = edges.where("a <> b and w is not null and not isnan(w)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("w").cast("double").alias("w"))
     light = F.min(F.struct("w", "a", "b")).alias("e")
     live = steps.written(known.groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(light), "live")
