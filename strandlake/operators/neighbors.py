@@ -19,8 +19,8 @@ MOST_PIVOTS = 4096
 #: Tasks that share one block's work.
 SALTS = 4
 DIGITS = 9
-#: Scores that are held at a time.
-STRIP = 1 << 21
+#: Scores that are held at a time, and of how many rows of the other block.
+STRIP, COLUMNS = 1 << 21, 4096
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -58,9 +58,9 @@ def _searcher(dim: int, k: int, metric: str):
 
     def scores(q: np.ndarray, t: np.ndarray) -> np.ndarray:
         if metric == "cosine":
-            return np.round(q @ t.T, DIGITS)
+            return q @ t.T
         middle = q.mean(0)  # near the origin differences of squares are exact enough
-        return np.round(-_distances(q - middle, t - middle), DIGITS)
+        return -_distances(q - middle, t - middle)
 
     def found(key, ids, top, near):
         some = near >= 0
@@ -68,19 +68,33 @@ def _searcher(dim: int, k: int, metric: str):
         return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(near[some]), pa.array(top[some])], ["id", "near", "score"])
 
     def merged(asked, ids, top, near, own, v):
-        """The k best of each row among those so far and a block's, by score and then by id."""
-        s = scores(asked, v)
-        s[ids[:, None] == own] = -np.inf
-        s = np.concatenate([top, s], 1)
-        i = np.where(s == -np.inf, -1, np.concatenate([near, np.broadcast_to(own, (len(ids), len(own)))], 1))
-        if s.shape[1] > 4 * k:  # all that tie with the k-th stay for the sort
-            least = -np.partition(-s, k - 1, 1)[:, k - 1 : k]
-            width = min(int((s >= least).sum(1).max()), s.shape[1])
-            if width < s.shape[1]:
-                part = np.argpartition(-s, width - 1, 1)[:, :width]
-                s, i = np.take_along_axis(s, part, 1), np.take_along_axis(i, part, 1)
-        order = np.lexsort((i, -s), axis=1)[:, :k]
-        return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        """The k best of each row among those so far and a block's, by score and then by id.
+
+        A strip of scores is compared with each row's k-th best so far, and only what reaches it is rounded and sorted.
+        """
+        for a in range(0, len(own), COLUMNS):
+            o = own[a : a + COLUMNS]
+            s = scores(asked, v[a : a + COLUMNS])
+            if near[:, -1].min(initial=0) < 0 and len(o) > k:  # the k-th best of these columns, its own id aside, bounds it as well
+                least = np.maximum(top[:, -1], np.partition(s, len(o) - 1 - k, 1)[:, len(o) - 1 - k])
+            else:
+                least = top[:, -1]
+            r, c = np.nonzero(s >= (least - 10.0**-DIGITS)[:, None])
+            other = ids[r] != o[c]
+            r, c = r[other], c[other]
+            if not len(r):
+                continue
+            held, place = np.nonzero(near >= 0)
+            row = np.concatenate([held, r])
+            score = np.concatenate([top[held, place], np.round(s[r, c], DIGITS)])
+            of = np.concatenate([near[held, place], o[c]])
+            order = np.lexsort((of, -score, row))
+            row, score, of = row[order], score[order], of[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            best = rank < k
+            top, near = np.full_like(top, -np.inf), np.full_like(near, -1)
+            top[row[best], rank[best]], near[row[best], rank[best]] = score[best], of[best]
+        return top, near
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = None
@@ -93,9 +107,9 @@ def _searcher(dim: int, k: int, metric: str):
                     if key is not None:
                         yield found(key, ids, top, near)
                     key, ids, asked = here, own, v
-                    top, near = np.full((len(ids), 0), -np.inf), np.full((len(ids), 0), -1, np.int64)
+                    top, near = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
                     continue
-                step = max(1, STRIP // max(1, len(own)))
+                step = max(1, STRIP // min(COLUMNS, max(1, len(own))))
                 strips = [merged(asked[a : a + step], ids[a : a + step], top[a : a + step], near[a : a + step], own, v) for a in range(0, len(ids), step)]
                 top, near = (np.concatenate(x) for x in zip(*strips, strict=True))
         if key is not None:
