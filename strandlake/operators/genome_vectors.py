@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Units of a component in the sums; 2**21 variants of a sample can't overflow them.
 UNIT = float(1 << 42)
-#: Samples whose sums a task holds at a time.
-HELD = 64
+#: Variants whose vectors a task holds at a time, and their components.
+HELD, CELLS = 4096, 1 << 20
 #: Tasks that share a sample.
 SALTS = 16
 BASES = ("A", "T", "G", "C")
@@ -41,18 +41,38 @@ class Codebook:
         slow = np.exp(np.repeat(np.arange(0, dimension, 2), 2)[:dimension] * -(np.log(10000.0) / dimension))
         self.position = np.where(at % 2 == 0, np.sin(at * slow), np.cos(at * slow))
         self._draw, self._unit = draw, unit
+        self._parts, self._chromosomes = {}, {}
 
     def chromosome(self, number: int) -> np.ndarray:
         return self._unit(self._draw(3, number).standard_normal(self.dimension))
 
     def variant(self, number: int, steps: int, ref: str, alt: str, kind: str) -> np.ndarray:
         """The vector of a variant of length one; steps is its position in millionths of 10**12."""
-        spectrum = np.fft.rfft(self.types[kind]) * np.fft.rfft(np.roll(self.position, steps))
-        if ref in self.bases:
-            spectrum = spectrum * np.fft.rfft(self.bases[ref])
-        if alt in self.bases:  # moved by one, to tell it from the reference
-            spectrum = spectrum * np.fft.rfft(np.roll(self.bases[alt], 1))
-        return self._unit(np.fft.irfft(spectrum, self.dimension) + self.chromosome(number))
+        return self.variants([(number, steps, ref, alt, kind)])[0]
+
+    def variants(self, keys: list[tuple[int, int, str, str, str]]) -> np.ndarray:
+        """The vectors of many variants, a row each; a row's figures don't depend on the others.
+
+        A moved position is a phase of its spectrum only in whole numbers of places, so it is rolled by an index, and what depends on a chromosome, or on alleles and kind, is taken once.
+        """
+        at = np.arange(self.dimension)
+        numbers, parts = [k[0] for k in keys], [k[2:] for k in keys]
+        moved = self.position[(at - np.array([k[1] % self.dimension for k in keys])[:, None]) % self.dimension]
+        for part in set(parts) - self._parts.keys():
+            ref, alt, kind = part
+            spectrum = np.fft.rfft(self.types[kind])
+            if ref in self.bases:
+                spectrum = spectrum * np.fft.rfft(self.bases[ref])
+            if alt in self.bases:  # moved by one, to tell it from the reference
+                spectrum = spectrum * np.fft.rfft(np.roll(self.bases[alt], 1))
+            if len(self._parts) >= 4096:  # alleles of any letters
+                self._parts.clear()
+            self._parts[part] = spectrum
+        for number in set(numbers) - self._chromosomes.keys():
+            self._chromosomes[number] = self.chromosome(number)
+        v = np.fft.irfft(np.fft.rfft(moved, axis=1) * np.stack([self._parts[p] for p in parts]), self.dimension, axis=1)
+        v += np.stack([self._chromosomes[n] for n in numbers])
+        return v / np.sqrt((v * v).sum(1))[:, None]
 
     def reduced(self, v: np.ndarray) -> np.ndarray:
         """v bound with itself moved by a half, a quarter and an eighth, at length one."""
@@ -73,36 +93,64 @@ def chromosome_number(name) -> F.col:
 
 def _partial(dimension: int, seed: int):
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, held, known, kind = Codebook(dimension, seed), {}, {}, pa.null()
-
-        def out():
-            for sample, (n, v) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([sample], kind), pa.array([n], pa.int64()), pa.array([v.tolist()], pa.list_(pa.int64()))], ["sample", "n", "v"])
-            held.clear()
-
+        """Rows come by sample: the vectors of a strip's different variants are made at once, and added up by runs of a sample."""
+        book, strip = Codebook(dimension, seed), min(HELD, max(1, CELLS // dimension))
+        at, n, v, kind = None, 0, None, pa.null()
         for batch in batches:
             kind = batch.column(0).type
-            for sample, *variant in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = tuple(variant)
-                if key not in known:
-                    if len(known) >= 4096:  # variants that are alike come again soon, if at all
-                        known.clear()
-                    known[key] = np.round(book.variant(*key) * UNIT).astype(np.int64)
-                if sample not in held and len(held) >= HELD:
-                    yield from out()
-                n, v = held.get(sample, (0, 0))
-                held[sample] = (n + 1, v + known[key])
-        yield from out()
+            samples = batch.column(0).to_pylist()
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True))
+            for a in range(0, len(keys), strip):
+                own, some = samples[a : a + strip], keys[a : a + strip]
+                place = {}
+                which = [place.setdefault(k, len(place)) for k in some]
+                units = np.round(book.variants(list(place)) * UNIT).astype(np.int64)[which]
+                first = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1])]
+                out = []
+                for sample, count, total in zip((own[i] for i in first), np.diff([*first, len(own)]).tolist(), np.add.reduceat(units, first, axis=0), strict=True):
+                    if n and sample == at:
+                        n, v = n + count, v + total
+                        continue
+                    if n:
+                        out.append((at, n, v))
+                    at, n, v = sample, count, total
+                if out:
+                    yield _sums(out, kind)
+        if n:
+            yield _sums([(at, n, v)], kind)
 
     return sums
 
 
+def _sums(held: list, kind: pa.DataType) -> pa.RecordBatch:
+    cells = np.stack([v for *_, v in held])
+    ends = pa.array(np.arange(len(held) + 1, dtype=np.int32) * cells.shape[1])
+    return pa.RecordBatch.from_arrays([pa.array([x for x, *_ in held], kind), pa.array([n for _, n, _ in held], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(cells.ravel()))], ["sample", "n", "v"])
+
+
 def _finish(dimension: int, seed: int):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = Codebook(dimension, seed)
+        """Partial sums come by sample: those of one are added up and reduced."""
+        book, at, n, v, kind = Codebook(dimension, seed), None, 0, None, pa.null()
+
+        def whole(held):
+            vectors = [book.reduced(v / UNIT).tolist() for *_, v in held]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, *_ in held], kind), pa.array([n for _, n, _ in held], pa.int64()), pa.array(vectors, pa.list_(pa.float64()))], ["sample", "n", "vector"])
+
         for batch in batches:
-            vectors = [book.reduced(np.array(v, float) / UNIT).tolist() for v in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.list_(pa.float64()))], ["sample", "n", "vector"])
+            kind, held = batch.column(0).type, []
+            rows = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
+            for sample, count, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), rows, strict=True):
+                if n and sample == at:
+                    n, v = n + count, v + row
+                    continue
+                if n:
+                    held.append((at, n, v))
+                at, n, v = sample, count, row
+            if held:
+                yield whole(held)
+        if n:
+            yield whole([(at, n, v)])
 
     return finish
 
@@ -110,8 +158,8 @@ def _finish(dimension: int, seed: int):
 def genome_vectors(variants: DataFrame, dimension: int = 10_000, seed: int = 0) -> DataFrame:
     """variants (sample, chrom, pos, ref, alt, kind) to (sample, n, vector): each sample's variants bundled and reduced, of length one.
 
-    Tasks add up what they hold of a sample; these partial sums are added position by position with Spark's partial aggregation, so a sample
-    that has a third of all variants meets in no single task. Positions count by millions. Alleles of more than one base, or none,
+    SALTS tasks add up what they hold of a sample, so one that has a third of all variants meets in no single task; its few partial
+    sums meet in one. Positions count by millions. Alleles of more than one base, or none,
     are not bound; an unknown kind, or null, is a SNP; a null position is 0. Repeated variants count each time. A null
     sample is a sample. No variants give no rows.
     """
@@ -123,8 +171,7 @@ def genome_vectors(variants: DataFrame, dimension: int = 10_000, seed: int = 0)
     salt = F.pmod(F.xxhash64("number", "steps", "ref", "alt"), F.lit(SALTS))
     dealt = rows.withColumn("salt", salt).repartition("sample", "salt").sortWithinPartitions("sample").drop("salt")
     partial = dealt.mapInArrow(_partial(dimension, seed), f"sample {of}, n long, v array<bigint>")
-    cells = partial.select("sample", "n", F.posexplode("v").alias("at", "x")).groupBy("sample", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    whole = cells.groupBy("sample").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda c: c["x"]).alias("v"))  # dimension cells
+    whole = partial.repartition("sample").sortWithinPartitions("sample")  # some SALTS rows of a sample
     return whole.mapInArrow(_finish(dimension, seed), f"sample {of}, n long, vector array<double>")
 
 
