@@ -113,8 +113,9 @@ def fhir_records(bundles: DataFrame, id_col: str = "bundle", text_col: str = "te
     # a text that is no JSON has no variant; entries of a bundle are exploded once
     parsed = bundles.select(F.col(f"`{id_col}`").alias("bundle"), F.try_parse_json(F.col(f"`{text_col}`").cast("string")).alias("v"))
     listed = _list(F.col("v"), "$.entry")
-    entries = parsed.select("bundle", F.col("v").isNotNull().alias("json"), F.posexplode_outer(F.when(F.size(listed) > 0, listed)).alias("entry", "x"))
-    rows = entries.select("bundle", "json", "entry", _get(F.col("x"), "$.resource", "variant").alias("r")).withColumn("kind", _get(F.col("r"), "$.resourceType"))
+    entries = parsed.select("bundle", F.col("v").isNotNull().alias("json"), F.posexplode_outer(listed).alias("entry", "x"))
+    # the kind is read where it stands: a filter on it takes no part of the bundle out for entries of other kinds
+    rows = entries.select("bundle", "json", "entry", _get(F.col("x"), "$.resource", "variant").alias("r"), _get(F.col("x"), "$.resource.resourceType").alias("kind"))
     r = F.col("r")
     own_id = F.coalesce(_get(r, "$.id"), F.left(F.sha2(F.to_json(r), 256), F.lit(8)))
     records = {
