@@ -235,6 +235,23 @@ def test_suffix_tree_tables_grow_and_tell_copies(spark):
     assert found[1] > 3 * found[0]
 
 
+def test_suffix_tree_counts_rare_next_words(spark, monkeypatch):
+    """Words that aren't broadcast have own counts too: scores are the same whether few words are broadcast or all."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.5)) % 400}" for _ in range(30)) for _ in range(60)]
+    texts += texts[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def scores(broadcast, frequent=None):
+        monkeypatch.setattr(suffix_tree, "BROADCAST", broadcast)
+        monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)
+        return {r["doc_id"]: r["score"] for r in suffix_tree.suffix_tree_scores(docs, p_context=0.05, p_next=0.05).collect()}
+
+    every, few, capped = scores(10_000), scores(20), scores(20, 20)
+    assert all(math.isclose(every[i], few[i], rel_tol=1e-6) for i in every)
+    assert sum(every[i] > capped[i] + 1 for i in every) > 20
+
+
 def test_states_sum_to_one(docs):
     tree, _ = suffix_tree.learn(docs.select("text"), p_context=1e-3, p_next=5e-4)
     level = tree.levels[0]
