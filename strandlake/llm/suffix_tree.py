@@ -258,15 +258,16 @@ def _dealt(h: np.ndarray, bits: int) -> tuple[np.ndarray, list[int], np.ndarray]
     return order, bucket[start].tolist(), np.append(start, len(h))
 
 
-def _counted(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (h, w) in order, and how often each occurs."""
+def _summed(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (h, w) in order, with their sums of c."""
     order = np.argsort(h)
-    h, w = h[order], w[order]
+    h, w, c = h[order], w[order], c[order]
     same = h[1:] == h[:-1]
     several = np.flatnonzero(np.append(same, False) | np.append(False, same))
-    w[several] = w[several[np.lexsort((w[several], h[several]))]]
+    order = several[np.lexsort((w[several], h[several]))]
+    w[several], c[several] = w[order], c[order]
     new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1]))) if len(h) else np.zeros(0, int)
-    return h[new], w[new], np.diff(np.append(new, len(h))).astype(np.int32)
+    return h[new], w[new], np.add.reduceat(c, new, dtype=np.int32) if len(new) else c
 
 
 def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +309,7 @@ def _joined(parts: list[list[bytes]], types: tuple) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(p[i], t) for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate(types)]
 
 
-_PAIRS, _TABLE, _RARE = (np.uint64, np.uint16, np.uint16, np.uint64), (np.uint64, np.int64, np.int32, np.uint64, np.int32), (np.uint64, np.int64)
+_PAIRS, _TABLE, _RARE = (np.uint64, np.uint16, np.uint16, np.uint16, np.uint16, np.uint64), (np.uint64, np.int64, np.int32, np.uint64, np.int32), (np.uint64, np.int64)
 _MET, _GAINS = (np.uint16, np.uint16, np.uint64, np.uint16, np.uint16, np.float32, np.uint64), (np.uint16, np.uint16, np.float32)
 
 
@@ -320,7 +321,7 @@ def _rare_parts(rare: np.ndarray, start: np.ndarray, words: np.ndarray) -> list[
 
 
 def _pairs(given, bits: int):
-    """Per batch and bucket: contexts for the tables and next words, one for each occurrence."""
+    """Per batch and bucket: contexts for the tables, next words and counts."""
 
     def run(batches):
         tree = given.value
@@ -328,14 +329,18 @@ def _pairs(given, bits: int):
             found = []
             for words, first in symbols(batch.column(0)):
                 place, h = tree.behind(contexts(words, first, 2)[1])
-                found.append((h, words[place], tree.by_word.place(words[place])))
+                at = tree.by_word.place(words[place])
+                found.append((h, np.where(at >= 0, at.astype(np.uint64), words[place] | RARE)))
             if not found:
                 continue
-            h, words, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            h, w = (np.concatenate(x) for x in zip(*found, strict=True))
             order, buckets, start = _dealt(h, bits)
-            h, words, at = h[order], words[order], at[order]
-            columns = (h, *_halves(at))
-            parts = [[*(x[a:b] for x in columns), r] for a, b, r in zip(start[:-1], start[1:], _rare_parts(at < 0, start, words), strict=True)]
+            h, w = h[order], w[order]
+            parts = []
+            for a, b in zip(start[:-1], start[1:], strict=True):
+                s, next_, c = _summed(h[a:b], w[a:b], np.ones(b - a, np.int32))
+                rare = next_ >= RARE
+                parts.append([s, *_halves(np.where(rare, -1, next_.astype(np.int64))), *_halves(c), next_[rare]])
             yield pa.RecordBatch.from_arrays(_packed(buckets, parts), ["bucket", "parts"])
 
     return run
@@ -346,8 +351,8 @@ def _bucket_table(rare: bool):
 
     def run(batches):
         for bucket, rows in _by_bucket(batches, ("parts",)):
-            h, low, high, words = _joined([r[0] for r in rows], _PAIRS)
-            h, w, c = _counted(h, _coded(low, high, words))
+            h, low, high, c, more, words = _joined([r[0] for r in rows], _PAIRS)
+            h, w, c = _summed(h, _coded(low, high, words), _whole(c, more))
             new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             own = (c >= LEAST) & (rare | (w < RARE))
             many = np.add.reduceat(own, new, dtype=np.int32)
