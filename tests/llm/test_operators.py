@@ -505,6 +505,21 @@ def test_passages_that_smaller_ids_cover_piece_by_piece(spark, shared, piece, pi
     assert {(r["doc_id"], r["other_id"]) for r in got if r["n_words"] >= 0.9 * shared} >= want
 
 
+def test_passages_whose_seeds_are_all_hot(spark, monkeypatch):
+    """Seeds of very many texts lead to the text before as well, over ranges of ids too, not to the one of smallest id only."""
+    for name, value in (("HOT", 1), ("SAMPLED", 1), ("CELLS", 7)):
+        monkeypatch.setattr(chaining, name, value, raising=False)
+    rng = random.Random(17)
+    rows, want = [], set()
+    for case in range(5):
+        p, i = prose(rng, 150).split(), 100 * case
+        texts = [*(p[a : a + 47] for a in (0, 15, 29, 44, 59, 74, 88, 103)), p, p]
+        rows += [(i + j, " ".join([prose(rng, 40), *t, prose(rng, 40)])) for j, t in enumerate(texts)]
+        want.add((i + 9, i + 8))
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got if r["n_words"] >= 135} >= want
+
+
 def test_secrets(spark, docs, empty):
     rng = random.Random(4)
     key = lambda n, a="0123456789abcdef": "".join(rng.choice(a) for _ in range(n))
