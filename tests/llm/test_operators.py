@@ -592,6 +592,26 @@ def test_secrets_of_a_learnt_format_are_found_wherever_they_stand(spark):
     assert all(len(r["spans"]) == len(r["likelihoods"]) for r in got.values())
 
 
+def test_formats_are_learnt_from_all_different_examples(spark):
+    """More keys and other runs than any sample of the code before held, and one key longer than it took; automata of the table are those of all rows in one list."""
+    rng = random.Random(12)
+    pick = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = {f"{pick(10, letters)}-{pick(rng.choice((8, 12)), '0123456789')}" for _ in range(800)} | {pick(300, letters)}
+    others = {f"{pick(6, letters.lower())}.{pick(rng.randint(6, 9), letters.lower())}" for _ in range(15_000)}
+    words = sorted(others)
+    texts = [f"token = {k} {' '.join(words[i::len(keys)])}" for i, k in enumerate(sorted(keys))]
+    formats = grammars.learn_formats(spark.createDataFrame([(t,) for t in texts * 2], "text string").repartition(5))
+    held = lambda v: zlib.crc32(v.encode()) % 5 == 0
+    rows = [(kind, held(v), v.translate(grammars.CLASSES), 1) for kind, values in (("assign", keys), ("other", others)) for v in values]
+    source = grammars.InMemory(rows)
+    want = grammars.grown(source, {k: total for k, (_, total) in source.sizes().items()})
+    for got, kind, values in ((formats.kinds["assign"][0], "assign", keys), (formats.other, "other", others)):
+        assert sum(c[grammars.STOP] for c in got.count) == sum(not held(v) for v in values)
+        assert (got.next, got.count, got.left) == (want[kind].next, want[kind].count, want[kind].left)
+    assert formats.recall["assign"] > 0.9 and formats.false_rate["assign"] <= grammars.RATE
+
+
 def test_mixing(spark, docs, empty):
     rows = mix_sources(docs).collect()
     assert len(rows) == len(corpus())
