@@ -627,6 +627,36 @@ def test_mixing(spark, docs, empty):
     assert order.count() == passes and order.columns == docs.columns
 
 
+def test_mixing_gives_rows_in_training_order_by_all_rates(spark):
+    """Rows come by their first pass, over all sources; at every pass each source has had its integrated rate of the words so far, solved for by bisection."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(1500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else these few rows come in one partition
+    try:
+        out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6))
+        got = out.collect()
+        assert out.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    first = [(r["shares"][0], r["key"]) if r["shares"] else (2.0, r["key"]) for r in got]
+    assert len(got) == len(rows) and first == sorted(first) and 2.0 in (x for x, _ in first)
+    target = {r["source"]: r["target"] for r in got}
+    slope = dict(zip(("a", "b", "c", None), (-0.5, 0.0, 0.5, -0.5), strict=True))
+    demand = lambda x, t: target[x] * ((1 - slope[x]) * t + slope[x] * t * t)
+    had, everything = collections.Counter(), sum(target.values())
+    due = collections.Counter({x: math.floor(t) for x, t in target.items()})
+    for at, part, r in sorted(((s, i, r) for r in got for i, s in enumerate(r["shares"])), key=lambda x: (x[0], x[2]["key"])):
+        words_before = sum(had.values())
+        low, high = 0.0, 1.0
+        for _ in range(50):
+            t = (low + high) / 2
+            low, high = (t, high) if sum(demand(x, t) for x in target) < words_before else (low, t)
+        assert abs(at - words_before / everything) <= 4 * 30 / everything
+        assert all(abs(had[x] - demand(x, low)) <= 4 * 30 for x in target)
+        had[r["source"]] += min(r["size"], due[r["source"]] - had[r["source"]])
+    assert had == due
+
+
 def test_curriculum_keeps_columns_of_any_name(spark):
     rows = [(i, f"w{i} x y", "s", i * 10, i + 1, i + 2, i + 3, i + 4, i + 5) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key long, row long, at long, pass long, n long, `a.b` long")
