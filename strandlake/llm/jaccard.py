@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import bounded_broadcast, components, kept
+from .frames import bounded_batches, bounded_broadcast, components, kept
 from .words import shingle_sets
 
 #: A shingle in more prefixes than this comes last in the order; of these the most frequent count, as many as are broadcast.
@@ -177,6 +177,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component. Rows that repeat an id stay rows; with different texts, each joins its own text's component.
     An empty table gives no rows; other columns of docs are not read.
     """
+    # all Python functions run before the result is returned, which only joins tables that are kept
+    with bounded_batches(docs.sparkSession):
+        return _components_of(docs, id_col, text_col, words, percent)
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     text = F.col(text_col).cast("string")
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     signed = pairs.mapInArrow(_signatures(words, percent, _frequent(pairs, words, percent)), _SIGNATURE)

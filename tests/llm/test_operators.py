@@ -326,6 +326,38 @@ def test_jaccard(docs, empty, monkeypatch, k, percent, frequent):
     assert jaccard_components(empty).count() == 0
 
 
+def test_jaccard_takes_texts_a_few_bytes_at_once(spark, monkeypatch):
+    """Memory outside of an executor's heap goes with the bytes that its Python workers get at once, for each core."""
+    signatures, seen = jaccard._signatures, spark.sparkContext.accumulator(0)
+
+    def watched(*args, **more):
+        run = signatures(*args, **more)
+
+        def sized(batches):
+            for batch in batches:
+                seen.add(1)
+                if batch.nbytes > 3 << 20:
+                    raise ValueError(f"{batch.nbytes} bytes at once")
+                yield batch
+
+        return lambda batches: run(sized(batches))
+
+    monkeypatch.setattr(jaccard, "_signatures", watched)
+    before = dict(spark.conf.getAll)
+    docs = spark.range(0, 2500, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 400), i -> concat('w', id * 1000 + i))) AS text")
+    got = jaccard_components(docs)
+    assert spark.conf.getAll == before
+    assert got.where("component_id = doc_id and n_shingles = 396").count() == got.count() == 2500
+    assert seen.value > 4
+    monkeypatch.undo()
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")  # a limit of the session's own stays
+    try:
+        assert jaccard_components(docs.limit(9)).count() == 9
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 @pytest.mark.parametrize("k, percent, seed", [(4, 85, 1), (5, 80, 2)])
 def test_jaccard_cluster(spark, monkeypatch, k, percent, seed):
     """Copies of copies of three texts, two of them alike: many don't link with the one most are near to, but with each other."""
