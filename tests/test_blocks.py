@@ -49,6 +49,12 @@ def test_blocks_equal_sql(spark, vectors, monkeypatch, name):
     assert same(spark, name, vectors, ["embeddings"]) > 0
 
 
+def test_triangles_of_every_label(spark, vectors):
+    label = {r["vec_id"]: r["label"] for r in spark.read.parquet(f"{vectors}/embeddings.parquet").collect()}
+    found = catalog.queries()["vr_triangles"](spark, vectors).select("a").collect()
+    assert {label[r["a"]] for r in found} == {0, 1, 2, 7}
+
+
 def test_blocks_leave_no_nested_loop(spark, vectors):
     for name in ("vr_edges", "vr_triangles", "persistence_filter", "knn_score", "neighbor_jaccard", "pairwise_hamming"):
         plan = catalog.queries()[name](spark, vectors)._jdf.queryExecution().optimizedPlan().toString()
