@@ -55,6 +55,19 @@ def test_triangles_of_every_label(spark, vectors):
     assert {label[r["a"]] for r in found} == {0, 1, 2, 7}
 
 
+def test_labels_have_as_many_parts_as_they_need(spark, monkeypatch):
+    from strandlake.operators import blocks
+
+    monkeypatch.setattr(blocks, "TRIPLE", 20)
+    rows = spark.createDataFrame([(label, 100 * label + i, [float(i)]) for label in range(12) for i in range(60 if label == 3 else 20)], "label int, id long, v array<double>")
+    copies = dict(blocks._triples(rows).groupBy("label").count().collect())
+    assert copies == {label: 60 * 6 if label == 3 else 20 for label in range(12)}  # 3 parts: each row meets 6 pairs of them
+    found = {tuple(r) for r in blocks.triangles(rows, 1.0).collect()}
+    assert found == set()
+    found = {tuple(r) for r in blocks.triangles(rows, 2.0).collect()}
+    assert found == {(100 * label + i, 100 * label + i + 1, 100 * label + i + 2, 2.0) for label in range(12) for i in range(58 if label == 3 else 18)}
+
+
 def test_blocks_leave_no_nested_loop(spark, vectors):
     for name in ("vr_edges", "vr_triangles", "persistence_filter", "knn_score", "neighbor_jaccard", "pairwise_hamming"):
         plan = catalog.queries()[name](spark, vectors)._jdf.queryExecution().optimizedPlan().toString()
