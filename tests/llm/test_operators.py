@@ -80,6 +80,25 @@ def test_hot_group_is_split_over_shards(spark):
     assert len(sizes) == 6 and max(sizes) < 1.03 * min(sizes)
 
 
+def test_each_of_very_many_groups_is_placed_alone(spark, monkeypatch):
+    """However many groups there are, small ones are placed one by one, not by a few common maps."""
+    from strandlake.llm import sharding
+
+    for name, value in (("MOST_GROUPS", 50), ("SHARE", 0.002), ("BUNDLES", 8), ("CELL_GROUPS", 300)):
+        monkeypatch.setattr(sharding, name, value, raising=False)
+    rows = [(i, "common text" if i % 10 == 0 else " ".join(["word", str(i % 1500), "x" * (i % 1500 % 37)])) for i in range(3000)]
+    got = pack_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=24).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(3000))
+    shard = {r["doc_id"]: r["shard"] for r in got}
+    for i in range(1500):  # of the rarer texts, equal ones stand together
+        assert i % 10 == 0 or shard[i] == shard[i + 1500]
+    for value, most in ((lambda r: r["size"], 1.1), (lambda r: 1, 1.4)):  # the law is that of bytes
+        sums = [sum(value(r) for r in got if r["shard"] == x) for x in range(24)]
+        assert max(sums) < most * min(sums), sums
+    for x in range(24):
+        assert sorted(r["slot"] for r in got if r["shard"] == x) == list(range(sum(r["shard"] == x for r in got)))
+
+
 def test_token_counts(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
