@@ -571,6 +571,25 @@ def test_passages_whose_seeds_are_all_hot(spark, monkeypatch):
     assert {(r["doc_id"], r["other_id"]) for r in got if r["n_words"] >= 135} >= want
 
 
+@pytest.mark.parametrize("cells", [1024, 5])
+def test_all_texts_that_share_a_passage_are_compared(spark, monkeypatch, cells):
+    """Also two between which others with a piece of it stand at every seed; copies are listed once, with the smallest id."""
+    for name, value in (("HOT", cells), ("SAMPLED", 1), ("PAIRS", 20)):
+        monkeypatch.setattr(chaining, name, value)
+    rng = random.Random(23)
+    rows, want = [], set()
+    for case in range(4):
+        p, i = prose(rng, 150).split(), 100 * case
+        pieces = [p[a : a + 47] for a in (0, 15, 29, 44, 59, 74, 88, 103)]
+        texts = [*pieces, p, *pieces, p, *pieces, p]
+        rows += [(i + j, " ".join([prose(rng, 40), *t, prose(rng, 40)])) for j, t in enumerate(texts)]
+        want |= {(i + 17, i + 8), (i + 26, i + 8), (i + 26, i + 17)}
+    rows += [(1000 + i, rows[8][1]) for i in range(3)]
+    got = [r for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_words"] >= 135]
+    assert {(r["doc_id"], r["other_id"]) for r in got} == want | {(1000 + i, 8) for i in range(3)}
+    assert all(r["identity"] == 1 and r["start_word"] == 0 and r["n_words"] == 230 for r in got if r["doc_id"] >= 1000)
+
+
 def test_secrets(spark, docs, empty):
     rng = random.Random(4)
     key = lambda n, a="0123456789abcdef": "".join(rng.choice(a) for _ in range(n))
